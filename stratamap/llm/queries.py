@@ -5,7 +5,8 @@ from __future__ import annotations
 from .mixing import op3_mix_sources
 from .ogg import op10_ogg_media
 from .packing import op2_pack_best_fit
+from .simhash import op9_simhash_components
 from .sharding import op6_shard_best_fit
 
-QUERIES = {f.__name__: f for f in (op2_pack_best_fit, op3_mix_sources, op6_shard_best_fit, op10_ogg_media)}
+QUERIES = {f.__name__: f for f in (op2_pack_best_fit, op3_mix_sources, op6_shard_best_fit, op9_simhash_components, op10_ogg_media)}
 SQL: dict[str, str] = {}
