@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import op3_mix_sources
+from .neighbours import op4_hilbert_neighbours
 from .ogg import op10_ogg_media
 from .packing import op2_pack_best_fit
 from .simhash import op9_simhash_components
@@ -10,5 +11,5 @@ from .sharding import op6_shard_best_fit
 from .substrings import op7_repeated_substrings
 from .tokenstore import op8_token_store
 
-QUERIES = {f.__name__: f for f in (op2_pack_best_fit, op3_mix_sources, op6_shard_best_fit, op7_repeated_substrings, op8_token_store, op9_simhash_components, op10_ogg_media)}
+QUERIES = {f.__name__: f for f in (op2_pack_best_fit, op3_mix_sources, op4_hilbert_neighbours, op6_shard_best_fit, op7_repeated_substrings, op8_token_store, op9_simhash_components, op10_ogg_media)}
 SQL: dict[str, str] = {}
