@@ -10,7 +10,8 @@ from .simhash import op9_simhash_components
 from .sharding import op6_shard_best_fit
 from .substrings import op7_repeated_substrings
 from .tokenstore import op8_token_store
+from .surrogates import op1_surrogates
 from .toxicity import op5_weak_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_pack_best_fit, op3_mix_sources, op4_hilbert_neighbours, op5_weak_toxicity, op6_shard_best_fit, op7_repeated_substrings, op8_token_store, op9_simhash_components, op10_ogg_media)}
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_pack_best_fit, op3_mix_sources, op4_hilbert_neighbours, op5_weak_toxicity, op6_shard_best_fit, op7_repeated_substrings, op8_token_store, op9_simhash_components, op10_ogg_media)}
 SQL: dict[str, str] = {}
