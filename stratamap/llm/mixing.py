@@ -135,3 +135,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = mix(docs, ["doc_id", "text_hash"])
     one = pieces.groupBy("src", "bucket", "row", "doc_id", "source", "size", "source_size", "target")
     return one.agg(F.sum("words").alias("taken"), F.count("slot").alias("pieces"), F.min("slot").alias("first_slot")).drop("src", "bucket", "row")
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The mix as documents with all their columns: one row for each time that at least half of a document is read, so
+    texts are never cut. A document without words is never read."""
+    th = F.xxhash64(F.col(text))
+    slim = cut(docs.select(F.col(doc_id).alias("doc_id"), th.alias("th"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
+    reads = mix(slim, ["doc_id", "th"]).groupBy("src", "bucket", "row", "doc_id", "th", "size", "epoch").agg(F.sum("words").alias("words"))
+    times = reads.filter((F.col("words") > 0) & (F.col("words") * 2 >= F.col("size"))).groupBy("src", "bucket", "row", "doc_id", "th").agg(F.count("*").alias("times"))
+    times = times.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(F.desc("times"))))
+    mine = docs.withColumn("_th", th).withColumn("_n", F.row_number().over(Window.partitionBy(doc_id, "_th").orderBy(F.lit(1))))
+    l, r = mine.alias("l"), times.select("doc_id", "th", "n", "times").alias("r")
+    on = F.col(f"l.{doc_id}").eqNullSafe(F.col("r.doc_id")) & (F.col("l._th") == F.col("r.th")) & (F.col("l._n") == F.col("r.n"))
+    both = l.join(r, on).select("l.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("r.times"))).alias("_time"))
+    return both.drop("_th", "_n", "_time")

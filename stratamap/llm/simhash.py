@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, table, with_fields
 from .components import components
@@ -144,3 +145,17 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their fingerprint and the component of near duplicates."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, k: int = 5) -> DataFrame:
+    """The documents without near duplicates: of each component the row of smallest doc_id stays (nulls last, then by
+    the text's hash; of rows with equal doc_id and text any one), with all its columns."""
+    th = F.xxhash64(F.col(text))
+    fps = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), th.alias("th"), F.col(text).alias("text")), k=k))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    classes = cut(fps.groupBy("fp").agg(F.min(order).alias("low")))
+    kept = classes.join(linked_classes(classes.select("fp"), radius), "fp").groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.th")
+    l, r = docs.withColumn("_th", th).alias("l"), kept.alias("r")
+    both = l.join(r, F.col(f"l.{doc_id}").eqNullSafe(F.col("r.doc_id")) & (F.col("l._th") == F.col("r.th"))).select("l.*")
+    first = F.row_number().over(Window.partitionBy(doc_id, "_th").orderBy(F.lit(1)))
+    return both.withColumn("_n", first).filter("_n = 1").drop("_n", "_th")
