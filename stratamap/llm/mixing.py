@@ -102,7 +102,7 @@ def placed(docs: DataFrame, keys: list[str], seed: int = 7) -> DataFrame:
     sources = cut(sources)
     begin = sums.select("_k", "_b", (F.sum("_n").over(Window.partitionBy("_k").orderBy("_b")) - F.col("_n")).alias("_o"))
     begin = begin.join(sources.withColumn("_k", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))).drop("source"), "_k")
-    w = Window.partitionBy("_k", "_b").orderBy("_h", *keys)
+    w = Window.partitionBy("_k", "_b").orderBy("_h", *keys, "size")
     d = d.withColumn("_i", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     d = d.withColumn("row", F.row_number().over(w)).join(begin, ["_k", "_b"])
     return d.withColumn("at", F.col("_o") + F.col("_i")).withColumn("bucket", F.col("_b")), sources
@@ -145,8 +145,8 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
     reads = mix(slim, ["doc_id", "th"]).groupBy("src", "bucket", "row", "doc_id", "th", "size", "epoch").agg(F.sum("words").alias("words"))
     times = reads.filter((F.col("words") > 0) & (F.col("words") * 2 >= F.col("size"))).groupBy("src", "bucket", "row", "doc_id", "th").agg(F.count("*").alias("times"))
     times = times.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(F.desc("times"))))
-    mine = docs.withColumn("_th", th).withColumn("_n", F.row_number().over(Window.partitionBy(doc_id, "_th").orderBy(F.lit(1))))
+    mine = docs.withColumn("_stratamap_th", th).withColumn("_stratamap_n", F.row_number().over(Window.partitionBy(doc_id, "_stratamap_th").orderBy(F.lit(1))))
     l, r = mine.alias("l"), times.select("doc_id", "th", "n", "times").alias("r")
-    on = F.col(f"l.{doc_id}").eqNullSafe(F.col("r.doc_id")) & (F.col("l._th") == F.col("r.th")) & (F.col("l._n") == F.col("r.n"))
-    both = l.join(r, on).select("l.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("r.times"))).alias("_time"))
-    return both.drop("_th", "_n", "_time")
+    on = F.col(f"l.{doc_id}").eqNullSafe(F.col("r.doc_id")) & (F.col("l._stratamap_th") == F.col("r.th")) & (F.col("l._stratamap_n") == F.col("r.n"))
+    both = l.join(r, on).select("l.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("r.times"))).alias("_stratamap_time"))
+    return both.drop("_stratamap_th", "_stratamap_n", "_stratamap_time")

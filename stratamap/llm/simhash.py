@@ -155,7 +155,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     classes = cut(fps.groupBy("fp").agg(F.min(order).alias("low")))
     kept = classes.join(linked_classes(classes.select("fp"), radius), "fp").groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.th")
-    l, r = docs.withColumn("_th", th).alias("l"), kept.alias("r")
-    both = l.join(r, F.col(f"l.{doc_id}").eqNullSafe(F.col("r.doc_id")) & (F.col("l._th") == F.col("r.th"))).select("l.*")
-    first = F.row_number().over(Window.partitionBy(doc_id, "_th").orderBy(F.lit(1)))
-    return both.withColumn("_n", first).filter("_n = 1").drop("_n", "_th")
+    l, r = docs.withColumn("_stratamap_th", th).alias("l"), kept.alias("r")
+    both = l.join(r, F.col(f"l.{doc_id}").eqNullSafe(F.col("r.doc_id")) & (F.col("l._stratamap_th") == F.col("r.th"))).select("l.*")
+    first = F.row_number().over(Window.partitionBy(doc_id, "_stratamap_th").orderBy(F.lit(1)))
+    return both.withColumn("_stratamap_n", first).filter("_stratamap_n = 1").drop("_stratamap_n", "_stratamap_th")

@@ -214,17 +214,17 @@ def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs, text with surrogates, and n_entities."""
     columns = docs.columns
-    found = docs.withColumn("_th", F.xxhash64(F.col(doc_id), F.col(text))).withColumn("_ents", detected(F.col(text))).filter(F.size("_ents") > 0)
+    found = docs.withColumn("_stratamap_th", F.xxhash64(F.col(doc_id), F.col(text))).withColumn("_stratamap_ents", detected(F.col(text))).filter(F.size("_stratamap_ents") > 0)
     found, _ = stored(found, "entities")
-    each = found.select("_th", F.explode(F.array_distinct("_ents")).alias("entity"))
+    each = found.select("_stratamap_th", F.explode(F.array_distinct("_stratamap_ents")).alias("entity"))
     chosen = mapping(each.select("entity").distinct(), key)
-    maps = each.distinct().join(chosen, "entity").groupBy("_th").agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("_map"))
+    maps = each.distinct().join(chosen, "entity").groupBy("_stratamap_th").agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("_stratamap_map"))
     between = F.split(F.col(text), PATTERN, -1)
-    n = F.size("_ents")
-    pairs = F.zip_with(F.slice(between, F.lit(1), n), "_ents", lambda a, b: F.concat(a, F.element_at(F.col("_map"), b)))
+    n = F.size("_stratamap_ents")
+    pairs = F.zip_with(F.slice(between, F.lit(1), n), "_stratamap_ents", lambda a, b: F.concat(a, F.element_at(F.col("_stratamap_map"), b)))
     new = F.concat(F.array_join(pairs, ""), F.element_at(between, -1))
-    changed = found.join(maps, "_th").withColumn("_new", new)
-    changed = changed.select(*[F.col("_new").alias(c) if c == text else F.col(c) for c in columns], n.cast("int").alias("n_entities"))
+    changed = found.join(maps, "_stratamap_th").withColumn("_stratamap_new", new)
+    changed = changed.select(*[F.col("_stratamap_new").alias(c) if c == text else F.col(c) for c in columns], n.cast("int").alias("n_entities"))
     same = docs.filter(~F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))).withColumn("n_entities", F.lit(0))
     return same.unionByName(changed)
 
