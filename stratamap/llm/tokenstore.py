@@ -35,7 +35,7 @@ from .common import shared_dir, sorted_starts, table
 WINDOW, MASK, LEAST, MOST = 16, 0xFF, 64, 2048
 END_ID = 2
 #: Distinct words whose ids a Python worker keeps, and chunk hashes that it knows to be sent.
-CACHE, SENT = 200_000, 200_000
+CACHE, SENT = 500_000, 200_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,36 +43,57 @@ class WordEncoder:
     """Encodes whole texts by the tokenizers library, word by word with a bounded cache.
 
     A byte-level tokenizer's own pre-tokens never reach over a single blank or newline between two other characters
-    (except the blank that leads a word), so a text without runs of white space is the sum of its words. Any other
-    text is encoded as a whole."""
+    (except the blank that leads a word), nor from a letter or digit into a full stop or comma before a blank. So a text
+    without runs of white space is the sum of such pieces; any other text is encoded as a whole. New pieces are
+    encoded together, as one text: each begins with the only token in it that begins with a blank or is a newline."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t[0] in "\u0120\u010a"]] = True
+        self.marks = dict(zip(("\1.", "\1,"), self._encode([".", ","]), strict=True))
+        self.known, self.open = dict(self.marks), set()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        raw = [w if w[0] == "\n" else f" {w}" for w in new]
+        for i in range(0, len(raw), 5000):
+            part = raw[i : i + 5000]
+            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.begins[ids]) * 4
+            data = ids.tobytes()
+            found = [data[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(data)], strict=True)]
+            if len(found) != len(part):
+                found = self._encode(part)
+            self.known.update(zip(new[i : i + 5000], found, strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers. Calls are for a megabyte or so at a time."""
         if len(self.known) > CACHE:
-            self.known.clear()
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
+            self.known, self.open = dict(self.marks), set()
+        marked = [t.replace("\n", " \n").replace(". ", " \1. ").replace(", ", " \1, ") for t in texts]
+        split = [t.split(" ") for t in marked]
         new: dict[str, None] = {}
-        whole = []
+        alone: set[int] = set()
         for i, (head, *words) in enumerate(split):
-            fresh = {w for w in words if w not in self.known}
-            for w in fresh if head and not head[0].isspace() and not head[-1].isspace() else ("",):
-                body = w[1:] if w[:1] == "\n" else w
-                if not body or body[0].isspace() or body[-1].isspace():
-                    whole.append(i)
-                    break
-            else:
-                new.update(dict.fromkeys(fresh))
-        self.known.update(zip(new, self._encode([w if w[0] == "\n" else f" {w}" for w in new]), strict=True))
-        alone = set(whole)
+            fresh = {w for w in set(words) if w not in self.known and w not in new}
+            bodies = [w[1:] if w[:1] == "\n" else w for w in fresh]
+            if not head or head[0].isspace() or head[-1].isspace() or "\1" in texts[i] or not all(x and not (x[0].isspace() or x[-1].isspace()) for x in bodies):
+                alone.add(i)
+                continue
+            self.open.update(w for w in fresh if not w[-1].isalnum())
+            new.update(dict.fromkeys(fresh))
+        self._learn(list(new))
+        for i, (t, words) in enumerate(zip(marked, split, strict=True)):
+            # A piece that ends with a sign would take a full stop or comma behind it into its last pre-token.
+            if i not in alone and any(f"{w} \1" in t for w in ("\1,", "\1.", *self.open.intersection(words), *(words[:1] if not words[0][-1].isalnum() else ()))):
+                alone.add(i)
         heads = self._encode([t if i in alone else words[0] for i, (t, words) in enumerate(zip(texts, split, strict=True))])
         find = self.known.__getitem__
         return [h if i in alone else b"".join([h, *map(find, words[1:])]) for i, (h, words) in enumerate(zip(heads, split, strict=True))]
@@ -203,9 +224,13 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def joined_crc(crcs: np.ndarray, sizes: np.ndarray) -> int:
-    """CRC-32 of byte strings in a row, from each one's CRC-32 and length."""
-    after = (int(sizes.sum()) - np.cumsum(sizes)).astype(np.int64)
+def joined_crcs(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """CRC-32 of rows of byte strings, from each string's CRC-32 and length; first: where each row begins (none is empty).
+    A string's CRC counts times x to the power of the bits behind it in its row."""
+    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(crcs))))
+    through = np.cumsum(sizes)
+    ends = np.append(through[first[1:] - 1], through[-1:])
+    after = ends[row] - through
     power = np.full(len(crcs), 1 << 31, np.uint64)  # x to the power 0
     square = np.array([1 << 30], np.uint64)  # x
     for _ in range(3):
@@ -213,7 +238,7 @@ def joined_crc(crcs: np.ndarray, sizes: np.ndarray) -> int:
     for k in range(int(after.max(initial=0)).bit_length()):
         power = np.where(after >> k & 1, _times(np.repeat(square, len(power)), power), power)
         square = _times(square, square)
-    return int(np.bitwise_xor.reduce(_times(power, crcs)))
+    return np.bitwise_xor.reduceat(_times(power, crcs), first)
 
 
 def verified_chunks(spark: SparkSession, store: str) -> DataFrame:
@@ -241,12 +266,14 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            out = []
-            for hs, n, crc, total, root in zip(d["hash"], d["n"], d["crc"], d["n_tokens"], d["root"], strict=True):
+            if not len(d):
+                continue
+            for hs, n, total, root in zip(d["hash"], d["n"], d["n_tokens"], d["root"], strict=True):
                 if hs is None or int(np.sum(n)) != total or merkle([bytes(h) for h in hs]) != bytes(root):
                     raise ValueError("a recipe does not match its chunks")
-                out.append(joined_crc(np.array(crc, np.uint64), np.array(n, np.int64) * 4) if len(n) > 1 else int(crc[0]))
-            yield pd.DataFrame({"doc_id": d["doc_id"].astype("Int64"), "start": d["start"], "n_tokens": d["n_tokens"], "ids_crc32": out})
+            n = [len(x) for x in d["n"]]
+            crcs = joined_crcs(np.concatenate(d["crc"].tolist()).astype(np.uint64), np.concatenate(d["n"].tolist()).astype(np.int64) * 4, np.cumsum(n) - n)
+            yield pd.DataFrame({"doc_id": d["doc_id"].astype("Int64"), "start": d["start"], "n_tokens": d["n_tokens"], "ids_crc32": crcs.astype(np.int64)})
 
     return both.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
