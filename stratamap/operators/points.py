@@ -98,3 +98,16 @@ def scan_faces(points: DataFrame, longest: float) -> DataFrame:
     short = lambda t: reduce(Column.__and__, [far(t[i], t[i - 1]) < longest for i in range(3)])
     two = F.array(*[F.when(short(t), F.struct(*[F.struct(f"{p}.line", f"{p}.beam").alias(n) for n, p in zip("abc", t, strict=True)])) for t in ("abc", "bdc")])
     return quads.select(F.explode(two).alias("f")).filter("f is not null").select("f.*")
+
+
+def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """A vertex's normal is that of the last face (fid, a, b, c) that it is a corner of; (vid, nx, ny, nz)."""
+    f = faces
+    for corner in "abc":
+        f = f.join(vertices.select(F.col("vid").alias(corner), *[F.col(n).alias(f"{corner}{n}") for n in "xyz"]), corner)
+    u, v = ([F.col(f"{k}{n}") - F.col(f"a{n}") for n in "xyz"] for k in "bc")
+    cross = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    f = f.withColumns({n: e for n, e in zip(("nx", "ny", "nz"), cross, strict=True)})
+    norm = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
+    f = f.select("fid", F.explode(F.array("a", "b", "c")).alias("vid"), *[(F.col(n) / norm).alias(n) for n in ("nx", "ny", "nz")])
+    return f.groupBy("vid").agg(F.max_by(F.struct("nx", "ny", "nz"), "fid").alias("n")).select("vid", "n.*")

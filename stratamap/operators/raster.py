@@ -147,3 +147,42 @@ def illumination(cells: DataFrame, spec: GridSpec, band: str, light: tuple[float
     way = way.filter((F.col("ax") != F.col("xi")) | (F.col("ay") != F.col("yi")))
     dark = way.join(cells.select(*CELL, F.col(band).alias("top")), CELL).filter("top > line").select(F.col("ax").alias("xi"), F.col("ay").alias("yi"), F.lit(0).alias("dark")).distinct()
     return cells.select(*CELL).join(dark, CELL, "left").select(*CELL, F.coalesce("dark", F.lit(1)).alias("illumination"))
+
+
+def lookup(points: DataFrame, grids: list[tuple[DataFrame, GridSpec]], band: str, order: str = "vid") -> DataFrame:
+    """Each point's value in the last grid that has one at its place (a grid is (cells, spec); later ones are newer)."""
+    from functools import reduce
+
+    found = [to_cells(points, spec).join(cells.select(*CELL, F.col(band).alias("value")).filter("value is not null"), CELL).select(order, F.lit(i).alias("grid"), "value") for i, (cells, spec) in enumerate(grids)]
+    return reduce(DataFrame.unionByName, found).groupBy(order).agg(F.max(F.struct("grid", "value")).alias("f")).select(order, "f.*")
+
+
+def height_at(points: DataFrame, cells: DataFrame, spec: GridSpec, band: str) -> DataFrame:
+    """Heights at points, between cell centres: the plane through the point's cell with its central differences."""
+    n = spread(cells, [(1, 0), (-1, 0), (0, 1), (0, -1)], [band])
+    at = lambda a, b: F.max(F.when((F.col("dx") == a) & (F.col("dy") == b), F.col(band)))
+    d = n.groupBy(*CELL).agg(((at(1, 0) - at(-1, 0)) / (2 * spec.sx)).alias("gx"), ((at(0, 1) - at(0, -1)) / (2 * spec.sy)).alias("gy")).join(cells.select(*CELL, band), CELL)
+    cx, cy = spec.centre(F.col("xi"), F.col("yi"))
+    p = to_cells(points, spec).join(d, CELL)
+    return p.withColumn("height", F.col(band) + F.coalesce("gx", F.lit(0.0)) * (F.col("x") - cx) + F.coalesce("gy", F.lit(0.0)) * (F.col("y") - cy)).drop("gx", "gy", band)
+
+
+def copy_band(target: DataFrame, source: DataFrame, band: str, scale: int = 1) -> DataFrame:
+    """Adds a band of another grid, of which one cell stands for scale by scale cells of the target."""
+    s = source.select(F.col("xi").alias("_sx"), F.col("yi").alias("_sy"), band)
+    on = (F.floor(F.col("xi") / scale) == F.col("_sx")) & (F.floor(F.col("yi") / scale) == F.col("_sy"))
+    return target.join(s, on, "left").drop("_sx", "_sy")
+
+
+def add_noise(cells: DataFrame, band: str, sigma: float, seed: int) -> DataFrame:
+    return cells.withColumn(band, F.col(band) + F.randn(seed) * sigma)
+
+
+def add_slope(cells: DataFrame, spec: GridSpec, band: str, gx: float, gy: float) -> DataFrame:
+    cx, cy = spec.centre(F.col("xi"), F.col("yi"))
+    return cells.withColumn(band, F.col(band) + gx * cx + gy * cy)
+
+
+def add_sphere(cells: DataFrame, spec: GridSpec, band: str, x: float, y: float, radius: float) -> DataFrame:
+    cx, cy = spec.centre(F.col("xi"), F.col("yi"))
+    return cells.withColumn(band, F.col(band) + F.sqrt(F.greatest(F.lit(0.0), radius * radius - (cx - x) * (cx - x) - (cy - y) * (cy - y))))

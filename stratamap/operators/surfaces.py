@@ -233,3 +233,11 @@ def follow(path: list[tuple[int, int]], cells: dict[tuple[int, int], list[float]
         height = min(cells[c], key=lambda m: (abs(m - height), m)) if cells.get(c) else height
         out.append(height)
     return out
+
+
+def choose_grid(grids: dict[str, tuple[float, float]], x: float, y: float, threshold: float) -> str | None:
+    """Of grids' centres, the one nearest by the larger of both distances, if it is within a threshold."""
+    if not grids:
+        return None
+    d, name = min((max(abs(cx - x), abs(cy - y)), name) for name, (cx, cy) in grids.items())
+    return name if d <= threshold else None
