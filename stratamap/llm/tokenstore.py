@@ -56,7 +56,7 @@ class WordEncoder:
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t[0] in "\u0120\u010a"]] = True
         self.marks = dict(zip(("\1.", "\1,"), self._encode([".", ","]), strict=True))
-        self.known, self.open = dict(self.marks), set()
+        self.known, self.older = dict(self.marks), {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,7 +65,7 @@ class WordEncoder:
         raw = [w if w[0] == "\n" else f" {w}" for w in new]
         for i in range(0, len(raw), 5000):
             part = raw[i : i + 5000]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.begins[ids]) * 4
             data = ids.tobytes()
             found = [data[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(data)], strict=True)]
@@ -76,27 +76,40 @@ class WordEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers. Calls are for a megabyte or so at a time."""
         if len(self.known) > CACHE:
-            self.known, self.open = dict(self.marks), set()
+            self.known, self.older = dict(self.marks), self.known  # words in use come back from the older half
+        known, older = self.known, self.older
         marked = [t.replace("\n", " \n").replace(". ", " \1. ").replace(", ", " \1, ") for t in texts]
         split = [t.split(" ") for t in marked]
+        found: list[tuple[list, list[int]]] = []  # each text's pieces' ids, and where they are not known yet
         new: dict[str, None] = {}
         alone: set[int] = set()
-        for i, (head, *words) in enumerate(split):
-            fresh = {w for w in set(words) if w not in self.known and w not in new}
+        for i, words in enumerate(split):
+            ids, gaps = list(map(known.get, words)), []
+            ids[0] = b""  # the head is encoded by itself
+            if None in ids:
+                gaps = [j for j, x in enumerate(ids) if x is None]
+            found.append((ids, gaps))
+            head, fresh = words[0], set()
+            for j in gaps:
+                if (w := words[j]) in older:
+                    known[w] = older[w]
+                else:
+                    fresh.add(w)
             bodies = [w[1:] if w[:1] == "\n" else w for w in fresh]
-            if not head or head[0].isspace() or head[-1].isspace() or "\1" in texts[i] or not all(x and not (x[0].isspace() or x[-1].isspace()) for x in bodies):
-                alone.add(i)
-                continue
-            self.open.update(w for w in fresh if not w[-1].isalnum())
-            new.update(dict.fromkeys(fresh))
-        self._learn(list(new))
-        for i, (t, words) in enumerate(zip(marked, split, strict=True)):
-            # A piece that ends with a sign would take a full stop or comma behind it into its last pre-token.
-            if i not in alone and any(f"{w} \1" in t for w in ("\1,", "\1.", *self.open.intersection(words), *(words[:1] if not words[0][-1].isalnum() else ()))):
+            # A full stop or comma behind another sign would belong to that sign's pre-token.
+            ahead = marked[i].split(" \1")[:-1]
+            if not head or head != head.strip() or "\1" in texts[i] or not all(x and x == x.strip() for x in bodies) or not all(x[-1:].isalnum() for x in ahead):
                 alone.add(i)
+            else:
+                new.update(dict.fromkeys(fresh))
+        self._learn([w for w in new if w not in known])
         heads = self._encode([t if i in alone else words[0] for i, (t, words) in enumerate(zip(texts, split, strict=True))])
-        find = self.known.__getitem__
-        return [h if i in alone else b"".join([h, *map(find, words[1:])]) for i, (h, words) in enumerate(zip(heads, split, strict=True))]
+        for i, (ids, gaps) in enumerate(found):
+            ids[0] = heads[i]
+            if i not in alone:
+                for j in gaps:
+                    ids[j] = known[split[i][j]]
+        return [ids[0] if i in alone else b"".join(ids) for i, (ids, _) in enumerate(found)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -109,21 +122,26 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of an id stream's chunks: where the rolling hash says so, at LEAST to MOST ids from the last one."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of id runs whose rolling hash over the last WINDOW ids asks for a cut. Within the first LEAST ids of a document no
+    cut is taken, so that documents may follow each other here: further on a window holds ids of its own document only."""
     h = (ids.astype(np.uint64) + np.uint64(1)) * ODD
     h ^= h >> np.uint64(29)
     m = 1
-    while m < WINDOW:
-        h[m:] = h[m:] + h[:-m] * (ODD + np.uint64(2 * m)) if len(h) > m else h[m:]
+    while m < WINDOW and len(h) > m:
+        h[m:] = h[m:] + h[:-m] * (ODD + np.uint64(2 * m))
         m *= 2
-    marks = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+
+
+def cut_points(found: np.ndarray, n: int) -> list[int]:
+    """Ends of a document's chunks, LEAST to MOST ids each (the last one may be shorter), from its marks and length."""
     out, at = [], 0
-    for m in [*marks[marks >= LEAST].tolist(), len(ids)]:
+    for m in [*found[found >= LEAST].tolist(), n]:
         while m - at > MOST:
             at += MOST
             out.append(at)
-        if m - at >= LEAST or (m == len(ids) and m > at):
+        if m - at >= LEAST or (m == n and m > at):
             out.append(at := m)
     return out
 
@@ -151,18 +169,22 @@ def chunks(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """The chunks of (doc_id, uid, text) by the tokenizer file at path."""
 
     def rows(held: list[tuple], sent: set[bytes]) -> pd.DataFrame:
-        out = []
-        for (i, u, _), ids in zip(held, encoder(path)([t for *_, t in held]), strict=True):
-            ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-            width = 2 if ids.max() < 1 << 16 else 4
-            packed, at = ids.astype(f"<u{width}").tobytes(), 0
-            for k, to in enumerate(cut_points(ids)):
-                part = packed[at * width : to * width]
+        encode = encoder(path)
+        width = 2 if max(len(encode.begins), end_id + 1) <= 1 << 16 else 4
+        last, out, at = np.array([end_id], "<u4").tobytes(), [], 0
+        coded = [ids + last for ids in encode([t for *_, t in held])]
+        every = np.frombuffer(b"".join(coded), "<u4")
+        packed, found = every.astype(f"<u{width}").tobytes(), marks(every)
+        for (i, u, _), ids in zip(held, coded, strict=True):
+            n, begin = len(ids) // 4, at
+            mine = found[np.searchsorted(found, at + 1) : np.searchsorted(found, at + n, side="right")] - at
+            for k, to in enumerate(cut_points(mine, n)):
+                part = packed[at * width : (begin + to) * width]
                 digest = hashlib.sha256(bytes([width]) + part).digest()
-                out.append((i, u, k, digest, to - at, width, None if digest in sent else part))
+                out.append((i, u, k, digest, begin + to - at, width, None if digest in sent else part))
                 if len(sent) < SENT:
                     sent.add(digest)
-                at = to
+                at = begin + to
         return pd.DataFrame(out, columns=["doc_id", "uid", "number", "hash", "n", "width", "payload"]).astype({"doc_id": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
