@@ -35,7 +35,9 @@ from .common import shared_dir, sorted_starts, table
 WINDOW, MASK, LEAST, MOST = 16, 0xFF, 64, 2048
 END_ID = 2
 #: Distinct words whose ids a Python worker keeps, and chunk hashes that it knows to be sent.
-CACHE, SENT = 500_000, 200_000
+CACHE, SENT = 900_000, 200_000
+#: New words that are encoded as one text.
+TOGETHER = 50_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,15 +65,15 @@ class WordEncoder:
 
     def _learn(self, new: list[str]) -> None:
         raw = [w if w[0] == "\n" else f" {w}" for w in new]
-        for i in range(0, len(raw), 5000):
-            part = raw[i : i + 5000]
+        for i in range(0, len(raw), TOGETHER):
+            part = raw[i : i + TOGETHER]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.begins[ids]) * 4
             data = ids.tobytes()
             found = [data[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(data)], strict=True)]
             if len(found) != len(part):
                 found = self._encode(part)
-            self.known.update(zip(new[i : i + 5000], found, strict=True))
+            self.known.update(zip(new[i : i + TOGETHER], found, strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers. Calls are for a megabyte or so at a time."""
