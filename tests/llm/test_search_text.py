@@ -50,6 +50,25 @@ def test_search_recall_with_narrow_windows(spark):
     assert hits / 300 >= 0.9
 
 
+def test_windows_widen_with_the_number_of_classes():
+    """Recall of the curves' windows over isotropic vectors, the hardest case; 768 ranks would find 0.85 of these."""
+    n, draw = 120_000, np.random.default_rng(4)
+    v = draw.normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    q = draw.choice(n, 60, replace=False)
+    s = v[q] @ v.T
+    s[np.arange(len(q)), q] = -np.inf
+    want = np.argpartition(-s, 20, axis=1)[:, :20]
+    hit = np.zeros(want.shape, bool)
+    for turn, shift in neighbours.frames(65):
+        x = neighbours._lifted(v, 1.0) @ turn
+        unit = ((x - x.min(0)) / (x.max(0) - x.min(0)) + shift) / 2 * (1 << neighbours.BITS)
+        at = np.empty(n, np.int64)
+        at[np.argsort(neighbours.hilbert_keys(np.clip(unit.astype(np.int64), 0, (1 << neighbours.BITS) - 1), neighbours.BITS), kind="stable")] = np.arange(n)
+        hit |= np.abs(at[want] - at[q][:, None]) <= neighbours.breadth(n)
+    assert hit.mean() >= 0.9
+
+
 def corpus(n=3000, seed=1):
     r = random.Random(seed)
     plain = ["".join(r.choice(["ba", "ko", "mi", "tu", "re", "lo"]) for _ in range(r.randint(1, 4))) for _ in range(400)]
