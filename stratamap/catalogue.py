@@ -416,11 +416,14 @@ def q_mixture(spark, d):
 
 @query()
 def q_consensus(spark, d):
-    rows = pts(spark, d).orderBy("vid").limit(60).toPandas()[["x", "y", "z"]].to_numpy(float)
-    q = rows @ TURN[:3, :3].T + TURN[:3, 3]
-    q[::3] += 25.0
-    t, good = matching.consensus(rows, q, 0.01)
-    return spark.createDataFrame([(i, *[float(round(v, 6)) for v in t[i]], int(good.sum())) for i in range(3)], "row int, a double, b double, c double, t double, agreeing long")
+    """The transform of all points onto their turned places, of which about one in three is off by 25."""
+    p = pts(spark, d).select(F.col("vid").alias("id"), *[F.col(a).alias(f"p{a}") for a in "xyz"], "x", "y", "z")
+    off = F.when(F.pmod("id", F.lit(3)) == 0, 25.0).otherwise(0.0)
+    pairs = points.transform(p, TURN).select("id", *[f"p{a}" for a in "xyz"], *[(F.col(a) + off).alias(f"q{a}") for a in "xyz"])
+    t, good, tried, enough = matching.consensus_pairs(pairs, 0.01)
+    if not enough:
+        raise ValueError(f"no consensus after {tried} trials")
+    return spark.createDataFrame([(i, *[float(round(v, 6)) for v in t[i]], int(good)) for i in range(3)], "row int, a double, b double, c double, t double, agreeing long")
 
 
 FRAMES = "SELECT 'r' || r_regionkey AS frame, CAST(NULL AS VARCHAR) AS parent, CAST(r_regionkey AS DOUBLE) AS tx FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, CAST(n_nationkey * 10 AS DOUBLE) FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, CAST(s_suppkey * 100 AS DOUBLE) FROM supplier"

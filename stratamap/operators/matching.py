@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,21 +111,64 @@ def best_overlap(score, low: float = 0.4, high: float = 1.0, steps: int = 8) ->
     return a if fa < fb else b
 
 
+def fitted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rigid transform of points a onto points b."""
+    m = {"n": len(a), **{f"p{k}": s for k, s in zip("xyz", a.sum(0), strict=True)}, **{f"q{k}": s for k, s in zip("xyz", b.sum(0), strict=True)}}
+    return rigid(m | {f"c{i}{j}": (a[:, u] * b[:, v]).sum() for u, i in enumerate("xyz") for v, j in enumerate("xyz")})
+
+
+def needed(share: float, sure: float) -> float:
+    """Trials until one sample of three has no outlier with the given probability, where that share of the pairs agrees."""
+    clean = share**3
+    return math.inf if clean <= 0 else 1 if clean >= 1 else math.log(1 - sure) / math.log1p(-clean)
+
+
+def consensus_pairs(pairs: DataFrame, threshold: float, batch: int = 64, most: int = 4096, sure: float = 1 - 1e-9, seed: int = 1) -> tuple[np.ndarray, int, int, bool]:
+    """As consensus(), of all rows of (id, px, py, pz, qx, qy, qz): the transform of p onto q, the rows that agree with
+    its best sample, the trials made, and whether these were enough. Only samples come to the driver: each pass draws a batch
+    of them from all rows and counts the rows that agree with each. Passes end when, by the share of rows that agree with
+    the best, a clean sample was drawn almost surely; if that takes more than ``most`` trials, the last value is False."""
+    columns = [f"{s}{a}" for s in "pq" for a in "xyz"]
+    n, best, top, tried = pairs.count(), None, 0, 0
+    good = lambda t: F.sqrt(sum((F.pow(sum((float(r[i]) * F.col(f"p{a}") for i, a in enumerate("xyz")), F.lit(float(r[3]))) - F.col(f"q{b}"), 2) for b, r in zip("xyz", t, strict=False)), F.lit(0.0))) < threshold
+    if n < 3:
+        return np.eye(4), 0, 0, False
+    while tried < most and tried < needed(top / n, sure):
+        # Rows in the order of a hash that differs by pass are a random draw, the same whatever the partitions.
+        drawn = pairs.withColumn("_h", F.xxhash64("id", F.lit(seed * 1_000_003 + tried))).orderBy("_h", "id", *columns).limit(3 * batch)
+        v = np.array(drawn.select(*columns).collect(), float)
+        v = v[np.random.default_rng((seed, tried)).permutation(len(v))]
+        trials = [fitted(v[i : i + 3, :3], v[i : i + 3, 3:]) for i in range(0, len(v) - 2, 3)]
+        m = np.stack(trials)
+
+        def agree(batches: Iterator[pd.DataFrame], m: np.ndarray = m) -> Iterator[pd.DataFrame]:
+            n = np.zeros(len(m), np.int64)
+            for d in batches:
+                p, q = d[columns[:3]].to_numpy(float), d[columns[3:]].to_numpy(float)
+                n += [int((np.linalg.norm(p @ t[:3, :3].T + t[:3, 3] - q, axis=1) < threshold).sum()) for t in m]
+            yield pd.DataFrame({"trial": np.arange(len(m)), "n": n})
+
+        # One row per trial and partition.
+        counts = pairs.select(*columns).mapInPandas(agree, "trial int, n long").groupBy("trial").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "trial").first()
+        if counts.n > top:
+            best, top = trials[counts.trial], counts.n
+        tried += len(trials)
+    if top < 3:
+        return np.eye(4), top, tried, False
+    m = moments(pairs.filter(good(best))).first()
+    return rigid(m), m["n"], tried, tried >= needed(top / n, sure)
+
+
 def consensus(x: np.ndarray, p: np.ndarray, threshold: float, trials: int = 200, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The rigid transform of x onto p that most pairs agree with, from minimal samples of three, fitted again to all of them."""
     draw = np.random.default_rng(seed)
 
-    def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        m = {"n": len(a), **{f"p{k}": s for k, s in zip("xyz", a.sum(0), strict=True)}, **{f"q{k}": s for k, s in zip("xyz", b.sum(0), strict=True)}}
-        m |= {f"c{i}{j}": (a[:, u] * b[:, v]).sum() for u, i in enumerate("xyz") for v, j in enumerate("xyz")}
-        return rigid(m)
-
     off = lambda t: np.linalg.norm(x @ t[:3, :3].T + t[:3, 3] - p, axis=1)
     best = np.zeros(len(x), bool)
     for _ in range(trials):
         i = draw.choice(len(x), 3, replace=False)
-        good = off(fit(x[i], p[i])) < threshold
+        good = off(fitted(x[i], p[i])) < threshold
         if good.sum() > best.sum():
             best = good
-    t = fit(x[best], p[best]) if best.sum() >= 3 else np.eye(4)
+    t = fitted(x[best], p[best]) if best.sum() >= 3 else np.eye(4)
     return t, best

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from stratamap import catalogue
 from stratamap.geometry import GridSpec, Uncertain, affine, line_cells, rotation, voxel_path
 from stratamap.operators import matching, points, polygons, poses, raster, surfaces, traversability
 from stratamap.operators.surfaces import HORIZONTAL, NEGATIVE, VERTICAL, Patch
@@ -244,6 +245,26 @@ def test_registration_recovers_a_transform(spark):
     assert abs(matching.best_overlap(lambda x: (x - 0.7) ** 2) - 0.7) < 0.02
 
 
+def test_consensus_reads_all_pairs_and_adapts(spark):
+    draw = np.random.default_rng(2)
+    v = draw.uniform(-5, 5, (600, 3))
+    turn = affine((0.1, 0.2, 0.3), rotation(0.6))
+    p = v @ turn[:3, :3].T + turn[:3, 3]
+    p[:480] += draw.uniform(1, 3, (480, 3))
+    pairs = spark.createDataFrame([(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(v, p, strict=True))], "id long, px double, py double, pz double, qx double, qy double, qz double")
+    t, n, tried, enough = matching.consensus_pairs(pairs, 0.05)
+    assert np.allclose(t, turn, atol=1e-6) and n == 120 and enough and tried > 200
+    assert not matching.consensus_pairs(pairs.filter("id < 480"), 1e-9, most=64)[3]
+
+
+def test_consensus_query_counts_the_whole_table(spark):
+    d = "/root/testdata/sf0.001"
+    want = catalogue.pts(spark, d).filter("vid % 3 <> 0").count()
+    got = catalogue.q_consensus(spark, d).collect()
+    assert {r.agreeing for r in got} == {want} and want > 60
+    assert np.allclose([[r.a, r.b, r.c, r.t] for r in got], catalogue.TURN[:3], atol=1e-5)
+
+
 def test_polygons(spark):
     square = lambda x, y: [(x + a, y + b) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))]
     d = spark.createDataFrame([(1, square(0.0, 0.0))], "id long, pts array<struct<x:double,y:double>>")
