@@ -203,8 +203,7 @@ def q_grid_to_mls(spark, d):
 
 @query()
 def q_mls_projection_full(spark, d):
-    p = pts(spark, d).filter("x between 10 and 30")
-    return rounded(surfaces.project(p, GRID, ["cloud", "vid"], gap=1.0), 6, "mean", "stdev", "height")
+    return rounded(surfaces.project(pts(spark, d), GRID, ["cloud", "vid"], gap=1.0), 6, "mean", "stdev", "height")
 
 
 @query()

@@ -245,6 +245,13 @@ def test_registration_recovers_a_transform(spark):
     assert abs(matching.best_overlap(lambda x: (x - 0.7) ** 2) - 0.7) < 0.02
 
 
+def test_projection_query_has_all_touched_cells(spark):
+    d = "/root/testdata/sf0.001"
+    touched = {tuple(r) for r in catalogue.q_touched_cells(spark, d).collect()}
+    got = {(r.xi, r.yi) for r in catalogue.q_mls_projection_full(spark, d).select("xi", "yi").distinct().collect()}
+    assert got == touched and min(x for x, _ in got) < 5 and max(x for x, _ in got) > 15
+
+
 def test_consensus_reads_all_pairs_and_adapts(spark):
     draw = np.random.default_rng(2)
     v = draw.uniform(-5, 5, (600, 3))
