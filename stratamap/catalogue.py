@@ -359,6 +359,12 @@ def q_knn_outliers(spark, d):
     return rounded(matching.outliers(_customers(spark, d), 4, 12.0, 0.05), 6, "mean_distance")
 
 
+@query()
+def q_knn_outliers_exact(spark, d):
+    """As q_knn_outliers, whose SQL takes 4 neighbours within 12; here the 24 nearest, however far."""
+    return rounded(matching.outliers_exact(_customers(spark, d), 24, 0.05, 12.0), 6, "mean_distance")
+
+
 def _pairs(spark, d) -> DataFrame:
     p = pts(spark, d).select(*[F.col(a).alias(f"p{a}") for a in "xyz"], "x", "y", "z")
     return points.transform(p, TURN).select(*[f"p{a}" for a in "xyz"], *[F.col(a).alias(f"q{a}") for a in "xyz"])

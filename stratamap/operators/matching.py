@@ -5,6 +5,7 @@ shifted buckets, never a comparison of all with all."""
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..geometry import affine, quaternion
+from ..lineage import cut
 from .points import transform
 
 
@@ -53,6 +55,26 @@ def outliers(points: DataFrame, k: int, distance: float, share: float) -> DataFr
     return m.join(F.broadcast(limit), F.col("mean_distance") > F.col("limit")).select("id", "mean_distance")
 
 
+def outliers_exact(points: DataFrame, k: int = 24, share: float = 0.05, distance: float = 1.0) -> DataFrame:
+    """Points whose mean distance to their k nearest, however far these are, is in the top share. The distance is where the
+    search begins: points with fewer than k others within it are searched again within twice as much, until none is left."""
+    from pyspark.sql.window import Window
+
+    p = cut(points.select("id", *"xyz"))
+    k, left, done = min(k, p.count() - 1), p, []
+    if k < 1:
+        return p.select("id", F.lit(0.0).alias("mean_distance")).limit(0)
+    while left.take(1):
+        near = close_pairs(left, p, distance).filter("lid <> rid")
+        r = near.withColumn("r", F.row_number().over(Window.partitionBy("lid").orderBy("d", "rid"))).filter(F.col("r") <= k)
+        whole = r.groupBy(F.col("lid").alias("id")).agg(F.avg("d").alias("mean_distance"), F.count("*").alias("c")).filter(F.col("c") == k).drop("c")
+        done.append(cut(whole))
+        left, distance = cut(left.join(done[-1], "id", "left_anti")), 2 * distance
+    m = functools.reduce(DataFrame.unionByName, done)
+    limit = m.agg(F.percentile("mean_distance", F.lit(1 - share)).alias("limit"))
+    return m.join(F.broadcast(limit), F.col("mean_distance") > F.col("limit")).select("id", "mean_distance")
+
+
 MOMENTS = ["n", *(f"p{a}" for a in "xyz"), *(f"q{a}" for a in "xyz"), *(f"c{a}{b}" for a in "xyz" for b in "xyz"), "dd"]
 
 

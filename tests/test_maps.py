@@ -245,6 +245,15 @@ def test_registration_recovers_a_transform(spark):
     assert abs(matching.best_overlap(lambda x: (x - 0.7) ** 2) - 0.7) < 0.02
 
 
+def test_outliers_against_brute_force(spark):
+    v = np.vstack([np.random.default_rng(3).normal(size=(150, 3)), np.random.default_rng(4).uniform(-90, 90, (30, 3))])
+    d = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(v)], "id long, x double, y double, z double")
+    mean = np.sort(np.linalg.norm(v[:, None] - v[None], axis=2), axis=1)[:, 1:25].mean(axis=1)
+    got = {r.id: r.mean_distance for r in matching.outliers_exact(d, 24, 0.05, 1.5).collect()}
+    want = set(np.flatnonzero(mean > np.percentile(mean, 95)).tolist())
+    assert set(got) == want and len(want) == 9 and all(math.isclose(mean[i], m) for i, m in got.items())
+
+
 def test_projection_query_has_all_touched_cells(spark):
     d = "/root/testdata/sf0.001"
     touched = {tuple(r) for r in catalogue.q_touched_cells(spark, d).collect()}
