@@ -333,6 +333,12 @@ def q_illumination(spark, d):
     return raster.illumination(tops(spark, d), GRID, "top", LIGHT)
 
 
+@query()
+def q_illumination_walk(spark, d):
+    """As q_illumination, whose SQL looks at 15 places of each line; here all cells on it count."""
+    return rounded(raster.illumination_walk(tops(spark, d), GRID, "top", LIGHT), 6, "illumination")
+
+
 def _customers(spark, d) -> DataFrame:
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_nationkey") * 4.0).alias("y"), (F.col("c_custkey") % 50 * 1.0).alias("z"))
 

@@ -149,6 +149,29 @@ def illumination(cells: DataFrame, spec: GridSpec, band: str, light: tuple[float
     return cells.select(*CELL).join(dark, CELL, "left").select(*CELL, F.coalesce("dark", F.lit(1)).alias("illumination"))
 
 
+def illumination_walk(cells: DataFrame, spec: GridSpec, band: str, light: tuple[float, float, float], diameter: float = 0.0) -> DataFrame:
+    """The share of a light that a cell sees: every cell that the line from its centre to the light crosses hides what it
+    covers of the light's height, the most of them counts. Each boundary crossed is a row, joined on the cell behind it;
+    of two crossed at once, that in y comes first."""
+    lx, ly = math.floor((light[0] - spec.ox) / spec.sx), math.floor((light[1] - spec.oy) / spec.sy)
+    cx, cy = spec.centre(F.col("xi"), F.col("yi"))
+    d = cells.select(*CELL, F.col(band).alias("h"), (light[0] - cx).alias("dx"), (light[1] - cy).alias("dy"), F.abs(lx - F.col("xi")).alias("kx"), F.abs(ly - F.col("yi")).alias("ky"))
+    d = d.withColumns({"a": spec.sx / F.nullif(F.abs("dx"), F.lit(0.0)), "b": spec.sy / F.nullif(F.abs("dy"), F.lit(0.0)), "far": F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))})
+    steps = lambda n, most: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.least(F.col(n), F.lit(most)) - 1)).otherwise(F.array().cast("array<long>"))
+    k = F.col("k")
+    # Behind the k-th boundary in x lie the boundaries in y that are not farther, and the other way round.
+    over_x = d.withColumn("k", F.explode(steps("kx", spec.nx))).withColumns({"mx": k + 1, "my": F.least("ky", F.coalesce(F.floor((k + 0.5) * F.col("a") / F.col("b") + 0.5), F.lit(0)))})
+    over_y = d.withColumn("k", F.explode(steps("ky", spec.ny))).withColumns({"my": k + 1, "mx": F.least("kx", F.coalesce(F.ceil((k + 0.5) * F.col("b") / F.col("a") - 0.5), F.lit(0)))})
+    way = over_x.unionByName(over_y).select(F.col("xi").alias("ax"), F.col("yi").alias("ay"), "h", "far", (F.col("xi") + F.signum("dx").cast("long") * F.col("mx")).alias("xi"), (F.col("yi") + F.signum("dy").cast("long") * F.col("my")).alias("yi"))
+    way = way.filter(spec.inside(F.col("xi"), F.col("yi")) & ~((F.col("xi") == lx) & (F.col("yi") == ly)))
+    met = way.join(cells.select(*CELL, F.col(band).alias("top")), CELL)
+    dist = F.sqrt(F.pow((F.col("xi") - F.col("ax")) * spec.sx, 2) + F.pow((F.col("yi") - F.col("ay")) * spec.sy, 2))
+    over = (F.col("top") - F.col("h")) / dist - (light[2] - diameter / 2 - F.col("h")) / F.col("far")
+    hidden = over / (diameter / F.col("far")) if diameter > 0 else (over > 0).cast("double")
+    dark = met.groupBy(F.col("ax").alias("xi"), F.col("ay").alias("yi")).agg(F.max(hidden).alias("hidden"))
+    return cells.select(*CELL).join(dark, CELL, "left").select(*CELL, (1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("hidden", F.lit(0.0))))).alias("illumination"))
+
+
 def lookup(points: DataFrame, grids: list[tuple[DataFrame, GridSpec]], band: str, order: str = "vid") -> DataFrame:
     """Each point's value in the last grid that has one at its place (a grid is (cells, spec); later ones are newer)."""
     from functools import reduce

@@ -254,6 +254,32 @@ def test_outliers_against_brute_force(spark):
     assert set(got) == want and len(want) == 9 and all(math.isclose(mean[i], m) for i, m in got.items())
 
 
+@pytest.mark.parametrize("light, diameter", [((3.3, 4.2, 9.0), 0.0), ((3.3, 4.2, 9.0), 6.0), ((40.0, 3.1, 20.0), 0.0), ((-9.0, 20.0, 12.0), 8.0)])
+def test_light_walks_every_cell(spark, light, diameter):
+    g, draw = GridSpec(12, 8, 2.0, 1.0), np.random.default_rng(6)
+    h = draw.uniform(0, 8, (12, 8))
+    at = math.floor(light[0] / 2), math.floor(light[1])
+    want = {}
+    for x, y in np.ndindex(12, 8):
+        dx, dy = light[0] - (x + 0.5) * 2, light[1] - (y + 0.5)
+        far, most, cx, cy = math.hypot(dx, dy), 0.0, x, y
+        mx, my = far * 2 / abs(dx) / 2, far / abs(dy) / 2
+        low, ax, ay = (light[2] - h[x, y] - diameter / 2) / far, 2 * mx, 2 * my
+        while (cx, cy) != at:
+            if mx < my:
+                mx, cx = mx + ax, cx + (1 if dx > 0 else -1)
+            else:
+                my, cy = my + ay, cy + (1 if dy > 0 else -1)
+            if not (0 <= cx < 12 and 0 <= cy < 8) or (cx, cy) == at:
+                break
+            over = (h[cx, cy] - h[x, y]) / math.hypot((cx - x) * 2, cy - y) - low
+            most = max(most, over / (diameter / far) if diameter else float(over > 0))
+        want[x, y] = 1 - min(most, 1)
+    got = {(r.xi, r.yi): r.illumination for r in raster.illumination_walk(cells(spark, [(x, y, float(h[x, y])) for x, y in np.ndindex(12, 8)]), g, "top", light, diameter).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], v, abs_tol=1e-9) for k, v in want.items())
+    assert 0 < sum(v < 1 for v in want.values()) < 96
+
+
 def test_projection_query_has_all_touched_cells(spark):
     d = "/root/testdata/sf0.001"
     touched = {tuple(r) for r in catalogue.q_touched_cells(spark, d).collect()}
