@@ -49,6 +49,7 @@ cabrón estúpido gilipollas idiota imbécil pendejo puta
 """.split()
 DISGUISE = str.maketrans("013457@$!", "oieastasi")
 WORD = re.compile(r"[^\W\d_]+")
+DISGUISES = re.compile("[" + re.escape("".join(map(chr, DISGUISE))) + "]")
 DISGUISED = re.compile(r"(?<!\w)(?=\w*[a-z])(?=[a-z@$!]*\d|[a-z0-9!]*[@$])[a-z0-9@$!]{4,12}(?!\w)")
 ADDRESSED = re.compile(r"\b(?:you|you're|youre|u|du|sie|tu|vous|usted|eres)\s+(?:are\s+|r\s+|bist\s+|es\s+|êtes\s+)?(?:an?\s+|so\s+|such\s+|ein[e]?\s+|un[e]?\s+|the\s+)?([^\W\d_]+)")
 VOTERS = [*(f"lexicon{i}" for i in range(GROUPS)), "insult", "two", "four", "dense", "addressed", "disguised", "clean", "clean_long"]
@@ -80,7 +81,7 @@ def findings(text: str | None, entries: tuple[tuple[str, bool], ...]) -> tuple[i
     rate = total / n
     groups = {e % GROUPS for e in hits}
     addressed = sum(m[1] in INSULT_SET or m[1] in words_of for m in ADDRESSED.finditer(low)) if hits or insults else 0
-    disguised = sum(m[0].translate(DISGUISE) in INSULT_SET for m in DISGUISED.finditer(low)) if any(c in low for c in "0134@$!") else 0
+    disguised = sum(m[0].translate(DISGUISE) in INSULT_SET for m in DISGUISED.finditer(low)) if DISGUISES.search(low) else 0
     votes = sum(1 << g for g in groups)
     for k, on in enumerate((insults > 0, distinct >= 2, distinct >= 4, rate >= 0.004 and total >= 2, addressed > 0, disguised > 0, not (hits or insults or disguised), not (hits or insults or disguised) and n >= 50)):
         votes |= int(on) << GROUPS + k

@@ -100,6 +100,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == ["doc_id", "text", "votes"] and kept.filter("text like '%idiot%'").isEmpty()
 
 
+def test_every_disguise_is_looked_for():
+    for c, plain in toxicity.DISGUISE.items():
+        word = next(w for w in toxicity.INSULTS if w.isascii() and 4 <= len(w) <= 12 and chr(plain) in w[1:])
+        text = word[0] + word[1:].replace(chr(plain), chr(c))
+        # An exclamation mark alone is no disguise, as it may only end a sentence.
+        text = "id!0t" if chr(c) == "!" else text
+        votes, _ = toxicity.findings(f"you {text}", ())
+        said = {v for i, v in enumerate(toxicity.VOTERS) if votes >> i & 1}
+        assert "disguised" in said and "clean" not in said, text
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(i, "fine words here" if i % 5 else "what a stupid idiot you moron") for i in range(200)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
