@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; in one of our own only where it names none."""
+    """A checkpoint in the folder that the session names; in one of our own only where it names none and runs in one
+    process, as executors of a cluster would not find it."""
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratamap-"))
+        at, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not at and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="stratamap-"))
     return df.checkpoint(eager=True)
