@@ -17,11 +17,11 @@ from bisect import bisect_left, insort
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, with_fields, word_count
+from .common import cut, free, table, with_fields, word_count
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: What a sequence costs besides its length (its start, its row of the batch).
@@ -72,29 +72,35 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[lis
 
 def pack_sequences(docs: DataFrame, keys: list[str], lengths: tuple[int, ...] = LENGTHS, pack_rows: int = PACK_ROWS) -> DataFrame:
     """Packs (keys, n_tokens): a row per piece with piece, first (its first token in the document), tokens, and its
-    bin (unique string), capacity (the bin's permitted length) and start (where the piece begins in the bin)."""
+    bin (unique string), capacity (the bin's permitted length) and start (where the piece begins in the bin). A column
+    of these whose name a key has gets underscores behind it."""
     lengths = tuple(sorted(lengths))
     big = lengths[-1]
     last = F.greatest(F.floor((F.col("n_tokens") - 1) / big), F.lit(0))
-    p = docs.select(*keys, "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("piece"))
-    p = p.withColumn("first", F.col("piece") * big).withColumn("tokens", F.least(F.col("n_tokens") - F.col("first"), F.lit(big)).cast("long")).drop("n_tokens")
-    p = cut(p)
+    p = docs.select(F.struct(*keys).alias("keys"), "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(last, F.lit(0)).cast("long"))).alias("piece"))
+    p = p.withColumn("first", F.col("piece") * big).withColumn("tokens", F.coalesce(F.least(F.col("n_tokens") - F.col("first"), F.lit(big)), F.lit(0)).cast("long")).drop("n_tokens")
+    p = cut(p.withColumn("tie", F.xxhash64("keys.*", "piece")))
     packs = max(1, -(-p.count() // pack_rows))
-    p = p.withColumn("pack", F.pmod(F.xxhash64(*keys, "piece"), F.lit(packs)).cast("int"))
-    schema = with_fields(p, "bin string, capacity int, start long")
-
-    def one(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(["tokens", *keys, "piece"], ascending=[False, *[True] * len(keys), True], kind="stable").reset_index(drop=True)
-        n = int((d["tokens"] > 0).sum())
-        bins, caps = pack(d["tokens"].tolist()[:n], lengths) if n else ([], [])
-        sizes = d["tokens"].to_numpy()
-        name, cap, start = np.full(len(d), None, object), np.full(len(d), None, object), np.full(len(d), None, object)
+    p = p.withColumn("pack", F.pmod("tie", F.lit(packs)).cast("long"))
+
+    def one(t: pa.Table) -> pa.Table:
+        tokens, tie, piece = (t[c].to_numpy() for c in ("tokens", "tie", "piece"))
+        order = np.lexsort((piece, tie, -tokens))
+        t, sizes = t.take(pa.array(order)), tokens[order]
+        n = int((sizes > 0).sum())
+        bins, caps = pack(sizes[:n].tolist(), lengths) if n else ([], [])
+        name, cap, start = [None] * len(sizes), [None] * len(sizes), [None] * len(sizes)
         for k, (b, c) in enumerate(zip(bins, caps, strict=True)):
-            name[b], cap[b] = f"{d['pack'].iloc[0]}-{k}", c
-            start[b] = np.cumsum(sizes[b]) - sizes[b]
-        return d.assign(bin=name, capacity=pd.array(cap, "Int32"), start=pd.array(start, "Int64"))
-
-    return p.groupBy("pack").applyInPandas(one, schema).drop("pack")
+            at = 0
+            for i in b:
+                name[i], cap[i], start[i] = f"{t['pack'][0]}-{k}", c, at
+                at += int(sizes[i])
+        t = t.select(["keys", "piece", "first", "tokens"])
+        return t.append_column("bin", pa.array(name, pa.string())).append_column("capacity", pa.array(cap, pa.int32())).append_column("start", pa.array(start, pa.int64()))
+
+    out = p.groupBy("pack").applyInArrow(one, with_fields(p.select("keys", "piece", "first", "tokens"), "bin string, capacity int, start long"))
+    made = out.columns[1:]
+    return out.select("keys.*", *[F.col(c).alias(n) for c, n in zip(made, free(made, keys), strict=True)])
 
 
 def op2_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

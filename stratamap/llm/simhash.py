@@ -16,17 +16,15 @@ doc_ids are rows like others; a component of null doc_ids only has component_id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table, with_fields
+from .common import arrow_map, cut, pair_key, table
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -78,14 +76,11 @@ def fingerprint_texts(texts: list[str | None], k: int = SHINGLE) -> np.ndarray:
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", k: int = SHINGLE) -> DataFrame:
     """Replaces the text column by its fingerprint (a signed long with the same bits)."""
-    keep = [c for c in df.columns if c != text]
-    schema = with_fields(df.select(*keep), f"`{out}` long")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            yield d[keep].assign(**{out: fingerprint_texts(d[text].tolist(), k).view(np.int64)})
+    def work(texts):
+        yield None, [fingerprint_texts(texts.to_pylist(), k).view(np.int64)]
 
-    return df.mapInPandas(run, schema)
+    return arrow_map(df, [c for c in df.columns if c != text], [text], work, f"`{out}` long")
 
 
 def _segments(fp: str) -> Column:
@@ -149,13 +144,13 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, k: int = 5) -> DataFrame:
     """The documents without near duplicates: of each component the row of smallest doc_id stays (nulls last, then by
-    the text's hash; of rows with equal doc_id and text any one), with all its columns."""
-    th = F.xxhash64(F.col(text))
-    fps = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), th.alias("th"), F.col(text).alias("text")), k=k))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    the text's hash; of rows with equal doc_id and text any one), with all its columns. Texts are shuffled once."""
+    at = "_stratamap_key"
+    slim = docs.select(F.col(doc_id).alias("doc_id"), pair_key(doc_id, text).alias(at), F.col(text).alias("text"))
+    fps = cut(fingerprints(slim, k=k))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", at)
     classes = cut(fps.groupBy("fp").agg(F.min(order).alias("low")))
-    kept = classes.join(linked_classes(classes.select("fp"), radius), "fp").groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.th")
-    l, r = docs.withColumn("_stratamap_th", th).alias("l"), kept.alias("r")
-    both = l.join(r, F.col(f"l.{doc_id}").eqNullSafe(F.col("r.doc_id")) & (F.col("l._stratamap_th") == F.col("r.th"))).select("l.*")
-    first = F.row_number().over(Window.partitionBy(doc_id, "_stratamap_th").orderBy(F.lit(1)))
-    return both.withColumn("_stratamap_n", first).filter("_stratamap_n = 1").drop("_stratamap_n", "_stratamap_th")
+    kept = classes.join(linked_classes(classes.select("fp"), radius), "fp").groupBy("root").agg(F.min("low").alias("low")).select(F.col(f"low.{at}").alias(at))
+    both = docs.withColumn(at, pair_key(doc_id, text)).join(kept, at, "left_semi")
+    first = F.row_number().over(Window.partitionBy(at).orderBy(F.lit(1)))
+    return both.withColumn("_stratamap_n", first).filter("_stratamap_n = 1").drop("_stratamap_n", at)

@@ -154,3 +154,46 @@ def test_shards_keep_groups_and_slots(spark):
     mean = sum(load.values()) / 7
     assert all(abs(v - mean) < 0.1 * mean for v in load.values())
     assert sharding.shard(spark.createDataFrame([], "doc_id long, size long, gkey binary"), 7).count() == 0
+
+
+def test_long_ids_next_to_nulls_and_clashing_keys(spark):
+    ids = [2**60 + 1, None, 2**60 + 3, 2**63 - 1]
+    d = spark.createDataFrame([(i, 10 + k, "p", "b") for k, i in enumerate(ids)], "doc_id long, n_tokens long, piece string, bin string").coalesce(1)
+    out = packing.pack_sequences(d, ["doc_id", "piece", "bin"])
+    assert out.columns == ["doc_id", "piece", "bin", "piece_", "first", "tokens", "bin_", "capacity", "start"]
+    rows = out.collect()
+    assert {r.doc_id for r in rows} == set(ids) and {r.piece for r in rows} == {"p"} and {r.piece_ for r in rows} == {0} and len({r.bin_ for r in rows}) == 1
+    m = spark.createDataFrame([(i, "s", 5, "a", "r", "k") for i in ids], "doc_id long, source string, size long, at string, row string, rank string")
+    got = mixing.mix(m, ["doc_id", "at", "row", "rank"])
+    assert {r.doc_id for r in got.collect()} == set(ids) and got.columns[:4] == ["doc_id", "at", "row", "rank"] and "row_" in got.columns
+
+
+def test_what_is_taken_comes_through_the_schedule(spark):
+    d, rows = fixture(spark, 600, seed=5)
+    whole, half = (sum_by_source(mixing.mix(d, ["doc_id"], block_tokens=64, read=x)) for x in (1.0, 0.5))
+    for s, t in targets(rows).items():
+        assert whole[s] == pytest.approx(t, abs=1)
+        # Half of the slots, to within the schedule's discrepancy.
+        assert abs(half[s] - t / 2) < 4 * 64 + 2 and half[s] < whole[s]
+    assert not any(sum_by_source(mixing.mix(d, ["doc_id"], read=0.0)).values())
+
+
+def sum_by_source(pieces):
+    return {r.source: r.w for r in pieces.groupBy("source").agg(F.sum("words").alias("w")).collect()}
+
+
+def test_every_source_has_a_slot(spark):
+    s = spark.createDataFrame([(str(i), 1, i, t) for i, t in enumerate([1.0, 2.0, 1e6, 0.0, 3e5, 70.0])], "source string, source_size long, src long, target double")
+    plan = {r.src: r for r in mixing.planned(s, 512).collect()}
+    assert [plan[i].slots > 0 for i in range(6)] == [True, True, True, False, True, True]
+    assert sum(r.slots for r in plan.values()) == plan[0].every == mixing.schedule(s, 512).select("slot").distinct().count()
+    assert all(abs(plan[i].slots - plan[i].quota / 512) < 1 for i in (2, 4))
+
+
+def test_waste_of_packs_against_one_packing(spark):
+    r = random.Random(6)
+    sizes = [min(20000, int(r.lognormvariate(5.5, 1.2))) for _ in range(6000)]
+    d = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long")
+    total = lambda rows: sum(r.select("bin", "capacity").distinct().agg(F.sum("capacity")).first()[0] for r in [rows])
+    packs, one = total(packing.pack_sequences(d, ["doc_id"], pack_rows=1000)), total(packing.pack_sequences(d, ["doc_id"], pack_rows=10**9))
+    assert packs <= 1.02 * one

@@ -106,3 +106,20 @@ def test_removal_of_odd_rows(spark):
     got = [(x.doc_id, bytes(x.kept)) for x in substrings.deduplicate(d).collect()]
     assert sorted(got, key=str) == sorted([(None, b""), (None, b""), (7, b"short"), (7, b"")], key=str)
     assert substrings.deduplicate(d.limit(0)).count() == 0
+
+
+def test_long_ids_next_to_nulls(spark):
+    ids = [2**60 + 1, None, 2**60 + 3, 2**63 - 1]
+    d = spark.createDataFrame([(i, f"{k} " * 10 + "words that differ " + str(k) * 40, "x") for k, i in enumerate(ids)], "doc_id long, text string, fp string").coalesce(1)
+    assert {r.doc_id for r in simhash.near_duplicates(d).collect()} == {r.doc_id for r in simhash.keep_one(d).collect()} == set(ids)
+    assert {r.doc_id for r in substrings.deduplicate(d).collect()} == set(ids)
+
+
+def test_very_long_text_and_many_copies(spark):
+    r = random.Random(9)
+    text = "".join(r.choice("abcdefgh ") for _ in range(600_000))
+    rows = [(1, text), (2, text[300_000:300_500]), (3, "unique " + text[:399])] + [(None, text[1000:1700])] * 30
+    out = {x.doc_id: x for x in substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert bytes(out[None].kept) == b"" and bytes(out[2].kept) == b"" and out[3].removed == []
+    assert [(x.low, x.high) for x in out[1].removed] == [(1000, 1700), (300_000, 300_500)]
+    assert simhash.fingerprint_texts([text]).tolist() == [brute_fingerprint(text)]
