@@ -4,10 +4,12 @@ A payload of bytes is stored losslessly as 8-bit mono samples in one logical str
 packet), multiplexed with a second logical stream that carries a comment packet and an index packet. The reader takes
 nothing on trust: it walks the capture patterns, verifies each page's checksum, page sequence, begin and end flags,
 reassembles packets from lacing values (a value of 255 continues, over pages too), separates the logical streams by
-serial number, and derives each packet's time from the granule positions at the sample rate.
+serial number, and derives each packet's time from the granule positions at the sample rate. A stream may begin at any
+granule position, as one that was cut out of a longer one does.
 
 Nulls: a null payload is stored as the padded empty payload; a null media value reads as a row with error set and
-nothing else. A damaged file yields its error, never an exception. Files of one row are held in memory one at a time.
+nothing else. A damaged file yields its error, never an exception. Ids may be null, repeated or of any size; empty and very
+long payloads are files like others, held in memory one at a time. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,19 +17,19 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_fields
+from .common import arrow_map, stored, table
 
 RATE, PACKET, PAGE_PACKETS, UNIT = 8000, 4096, 8, 64
 DATA_SERIAL, META_SERIAL = 1, 2
 HEADER = struct.Struct("<4sBBqIIIB")
-FEATURES = "n_samples long, seconds double, pages int, packets int, streams int, mean double, variance double, zero_crossings long, entropy double"
+FEATURES = "n_samples begin end gap_samples pages packets streams mean variance zero_crossings entropy"
+#: Bytes of media that a batch of results holds.
+HELD = 8 << 20
 
 #: A byte's bits in reverse order. Ogg's checksum is the usual CRC-32 polynomial with bits in the other order, without
 #: inversions, so it is zlib's checksum of bit-reversed bytes, reversed.
@@ -94,78 +96,115 @@ def write(payload: bytes, rate: int = RATE) -> bytes:
     return b"".join(out)
 
 
-def read_packets(media: bytes) -> tuple[dict[int, list[tuple[bytes, int]]], int]:
-    """Packets of each logical stream with the granule position of the page that ends them (-1: not the page's last),
-    and the number of pages. ValueError says what is wrong with the file."""
-    found: dict[int, list[tuple[bytes, int]]] = {}
+def read_packets(media: bytes) -> tuple[dict[int, list[tuple[bytes, float | None, float | None]]], int, list[str]]:
+    """Packets of each logical stream with the granule positions at which each begins and ends, the number of good pages,
+    and what is wrong with the file.
+
+    A page's granule position is where the last packet that ends in it ends; the packets that end in it share the span from
+    the granule position before (of the stream's first page with packets: from its own, less the bytes that end in it) in
+    proportion to their bytes. Behind a damaged page the reader looks for the next capture pattern; packets that
+    reach into what is lost are dropped, and their stream goes on with the granule position of the next page."""
+    found: dict[int, list[tuple[bytes, float | None, float | None]]] = {}
     part: dict[int, list[bytes]] = {}
     sequence: dict[int, int] = {}
+    granules: dict[int, int] = {}
     ended: set[int] = set()
-    at = 0
+    wrong: list[str] = []
+    pages = at = 0
     while at < len(media):
+        why, size = None, 0
         if len(media) - at < HEADER.size:
-            raise ValueError("cut page header")
-        magic, version, flags, granule, serial, number, crc, n = HEADER.unpack_from(media, at)
-        if magic != b"OggS" or version:
-            raise ValueError("no capture pattern")
-        lacing = media[at + 27 : at + 27 + n]
-        size = 27 + n + sum(lacing)
-        page = media[at : at + size]
-        if len(lacing) < n or len(page) < size:
-            raise ValueError("cut page")
-        if page_crc(page[:22] + bytes(4) + page[26:]) != crc:
-            raise ValueError("page checksum")
-        if (flags & 2 > 0) != (serial not in sequence) or number != sequence.get(serial, -1) + 1:
-            raise ValueError("page sequence")
-        if serial in ended or (flags & 1 > 0) != bool(part.get(serial)):
-            raise ValueError("continued packet")
+            why = "cut page header"
+        else:
+            magic, version, flags, granule, serial, number, crc, n = HEADER.unpack_from(media, at)
+            lacing = media[at + 27 : at + 27 + n]
+            size = 27 + n + sum(lacing)
+            page = media[at : at + size]
+            if magic != b"OggS" or version:
+                why = "no capture pattern"
+            elif len(lacing) < n or len(page) < size:
+                why = "cut page"
+            elif page_crc(page[:22] + bytes(4) + page[26:]) != crc:
+                why = "page checksum"
+        if why:
+            wrong.append(f"{why} at {at}")
+            at = media.find(b"OggS", at + 1)
+            if at < 0:
+                break
+            continue
+        pieces, broken = part.setdefault(serial, []), False
+        if (flags & 2 > 0) != (serial not in sequence) or number != sequence.get(serial, -1) + 1 or serial in ended:
+            wrong.append(f"page sequence at {at}")
+            broken = True
+            pieces.clear()
+        elif (flags & 1 > 0) != bool(pieces):
+            wrong.append(f"continued packet at {at}")
+            broken = True
+            pieces.clear()
         sequence[serial] = number
-        packets, pieces = found.setdefault(serial, []), part.setdefault(serial, [])
-        from_, to = at + 27 + n, at + 27 + n
+        packets: list[bytes] = []
+        skip = broken and flags & 1 > 0  # the rest of a packet whose beginning is lost
+        from_ = to = at + 27 + n
         for x in lacing:
             to += x
             if x < 255:
                 pieces.append(media[from_:to])
-                packets.append((b"".join(pieces), -1))
+                if not skip:
+                    packets.append(b"".join(pieces))
                 pieces.clear()
-                from_ = to
-        if from_ < to:
+                from_, skip = to, False
+        if from_ < to and not skip:
             pieces.append(media[from_:to])
-        if packets and granule >= 0 and any(x < 255 for x in lacing):
-            packets[-1] = (packets[-1][0], granule)
+        sizes = np.cumsum([0, *map(len, packets)])
+        if packets and granule >= 0:
+            before = granules.get(serial)
+            before = granule - int(sizes[-1]) if before is None or broken else before
+            if before > granule:
+                wrong.append(f"granule position at {at}")
+            span = (granule - before) / max(1, int(sizes[-1]))
+            ends = [before + span * float(z) for z in sizes]
+            found.setdefault(serial, []).extend(zip(packets, ends[:-1], ends[1:], strict=True))
+            if granule > 0:  # a header page has position zero, wherever its samples begin
+                granules[serial] = granule
+        else:
+            found.setdefault(serial, []).extend((p, None, None) for p in packets)
         if flags & 4:
             ended.add(serial)
+        pages += 1
         at += size
     if any(part.values()) or ended != set(sequence):
-        raise ValueError("stream without end")
-    return found, sum(sequence.values()) + len(sequence)
+        wrong.append("stream without end")
+    return found, pages, wrong
 
 
 def read(media: bytes | None) -> dict:
-    """The payload, its packets' start times and features; error says why there are none."""
-    try:
-        if media is None:
-            raise ValueError("no media")
-        streams, pages = read_packets(media)
+    """The payload, its packets' start times (seconds, from the granule positions) and features; error says why there are
+    none. A damaged file has an error and in payload what its whole packets hold."""
+    recovered, why = None, "no media"
+    if media is not None:
+        streams, pages, wrong = read_packets(media)
+        why = "; ".join(wrong[:3])
         data = streams.get(DATA_SERIAL, [])
-        if not data or data[0][0][:4] != b"PCM8" or len(data[0][0]) != 20:
-            raise ValueError("no sample stream")
-        rate, _, n = struct.unpack("<IIQ", data[0][0][4:])
-        payload = b"".join(p for p, _ in data[1:])
-        ends = np.cumsum([len(p) for p, _ in data[1:]])
-        marked = [(g, e) for (_, g), e in zip(data[1:], ends.tolist(), strict=True) if g >= 0]
-        if len(payload) != n or any(g != e for g, e in marked) or (marked or [(0, 0)])[-1][0] != n:
-            raise ValueError("granule positions")
-    except (ValueError, struct.error, IndexError) as e:
-        return {"error": str(e)}
+        head = data[0][0] if data else b""
+        if head[:4] == b"PCM8" and len(head) == 20:
+            rate, _, n = struct.unpack("<IIQ", head[4:])
+            recovered = payload = b"".join(p for p, *_ in data[1:])
+            why = why or ("" if len(payload) == n else "payload length") or ("" if all(b is not None for _, b, _ in data) else "granule positions")
+        else:
+            why = why or "no sample stream"
+    if why:
+        return {"error": why, "payload": recovered}
     x = np.frombuffer(payload, np.uint8)
     count = np.bincount(x, minlength=256)
     p = count[count > 0] / max(1, len(x))
     values = np.arange(256.0)
     mean = float(count @ values) / max(1, len(x))
     high = x >= 128
+    first, last = (data[1][1], data[-1][2]) if len(data) > 1 else (0, 0)
+    # Samples that granule positions count between the first and the last packet, but no packet holds.
+    gap = round(last - first) - len(x)
     return {
-        "error": None, "payload": payload, "times": ((ends - [len(p) for p, _ in data[1:]]) / rate).tolist(), "n_samples": len(x), "seconds": len(x) / rate, "pages": pages,
+        "error": None, "payload": payload, "times": [b / rate for _, b, _ in data[1:]], "n_samples": len(x), "begin": first / rate, "end": last / rate, "gap_samples": gap, "pages": pages,
         "packets": sum(map(len, streams.values())), "streams": len(streams), "mean": mean, "variance": float(count @ (values - mean) ** 2) / max(1, len(x)),
         "zero_crossings": int(np.count_nonzero(high[1:] != high[:-1])), "entropy": float(-(p * np.log2(p)).sum()),
     }
@@ -173,42 +212,47 @@ def read(media: bytes | None) -> dict:
 
 def store_media(df: DataFrame, payload: str, media: str) -> DataFrame:
     """Adds a media column that holds the padded payload column (binary) as an Ogg file."""
-    schema = with_fields(df, f"`{media}` binary")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            yield d.assign(**{media: [write(padded(b"" if x is None else bytes(x))) for x in d[payload]]})
+    def work(data):
+        # A few files at a time: a batch of long texts is not held twice as media.
+        rows, out, size = [], [], 0
+        for i, x in enumerate(data):
+            m = write(padded(x.as_py() or b""))
+            rows.append(i)
+            out.append(m)
+            size += len(m)
+            if size > HELD:
+                yield rows, [out]
+                rows, out, size = [], [], 0
+        if rows:
+            yield rows, [out]
 
-    return df.mapInPandas(run, schema)
+    return arrow_map(df, df.columns, [payload], work, f"`{media}` binary")
 
 
 def read_media(df: DataFrame, media: str) -> DataFrame:
-    """Replaces the media column by what a reader of the stored bytes finds."""
-    keep = [c for c in df.columns if c != media]
-    schema = with_fields(df.select(*keep), "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+    """Replaces the media column by what a reader of the stored bytes finds; a column of these whose name another has
+    gets underscores behind it."""
 
-    def row(m) -> tuple:
-        m = None if m is None else bytes(m)
+    def row(m: bytes | None) -> tuple:
         r = read(m)
-        stored = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+        stored_ = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
         if r["error"]:
-            return (None, None, None, *stored, None, r["error"])
-        feature = ";".join(f"{k}={r[k]:.6f}" if isinstance(r[k], float) else f"{k}={r[k]}" for k in (x.split()[0] for x in FEATURES.split(", ")))
-        return (len(r["payload"]), hashlib.sha256(r["payload"]).hexdigest(), zlib.crc32(r["payload"][-UNIT:]), *stored, feature, None)
+            return (None, None, None, *stored_, None, r["error"])
+        feature = ";".join(f"{k}={r[k]:.6f}" if isinstance(r[k], float) else f"{k}={r[k]}" for k in FEATURES.split())
+        return (len(r["payload"]), hashlib.sha256(r["payload"]).hexdigest(), zlib.crc32(r["payload"][-UNIT:]), *stored_, feature, None)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in schema][len(keep) :]
-        for d in batches:
-            got = pd.DataFrame([row(m) for m in d[media]], columns=names, dtype=object)
-            for c in ("payload_bytes", "tail_crc32", "media_bytes"):
-                got[c] = got[c].astype("Int64")
-            yield pd.concat([d[keep].reset_index(drop=True), got], axis=1)
+    def work(files):
+        got = [row(m.as_py()) for m in files]
+        yield None, list(map(list, zip(*got, strict=True))) if got else [[]] * 7
 
-    return df.mapInPandas(run, schema)
+    fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    return arrow_map(df, [c for c in df.columns if c != media], [media], work, fields)
 
 
 def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' texts stored as Ogg files and read back."""
+    """All documents' texts stored as Ogg files, in a table of the shared folder, and read back from there."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.length(data).cast("long").alias("n_bytes"), data.alias("payload"))
-    return read_media(store_media(docs, "payload", "media").drop("payload"), "media")
+    media, _ = stored(store_media(docs, "payload", "media").drop("payload"), "media", "zstd")
+    return read_media(media, "media")
