@@ -1,51 +1,59 @@
 """Toxicity by weak supervision: many voters, a generative label model over them, and a linear classifier.
 
 1. A lexicon is found in a bounded sample of labelled rows: words, and beginnings of words, that occur in toxic texts and
-   hardly in others. A fixed list of general insults is added. Its entries are dealt to ``GROUPS`` voters; further
-   voters look at how many different entries, how dense, at insults addressed to someone, at disguised spellings, and
-   two vote for the other class (nothing found, or nothing found in a long text). A voter abstains where it sees nothing.
+   hardly in others. A fixed list of abusive words, written without a look at any label, is added. The entries are dealt to
+   ``GROUPS`` voters; further voters look at how many different entries, how dense, at insults addressed to someone, at
+   disguised spellings, and two vote for the other class (nothing found, or nothing found in a long text). A voter
+   abstains where it sees nothing.
 2. The label model takes the counts of all vote patterns over all documents (at most 2 ** voters rows, in practice a few
    thousand). Its expectation maximisation estimates each voter's accuracy and how often it speaks in either class;
    voters that agree more often than two independent ones of their accuracies would are correlated, and a voter's
    evidence is divided by the number of voters that it is worth with those. No label enters here except the share of
    toxic rows in the sample, as the prior.
-3. A logistic regression is trained on the posteriors of a bounded sample of documents, over features of the text alone, and its
-   threshold moved to 0.5 on the labelled sample.
+3. A logistic regression is trained on posterior labels, over the votes, counts of findings, and ``TERMS`` words of its own:
+   those whose occurrence goes with the posterior of a bounded sample of ``TRAIN_ROWS`` distinct documents (the smallest
+   hashes), whether a voter knows them or not. So it can find texts in which no voter speaks. Its threshold is moved to
+   0.5 on the labelled sample.
 
 Labels are read only of rows whose crc32(doc_id) mod 5 is not 0; several labels of a doc_id count as toxic if one does.
 Without labels the fixed list alone votes. Nulls: a null or empty text scores like any text without findings; rows with null
-or repeated doc_ids are scored like others (a null doc_id is never held out). An empty table gives no rows.
+or repeated doc_ids are scored like others (a null doc_id is never held out). Very long texts are read whole. Columns keep
+their names whatever they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import arrow_map, free, remove, stored, table
 
-#: Bounds of what is learned from: labelled rows of either class, lexicon entries, documents for the classifier.
-TOXIC_ROWS, CLEAN_ROWS, ENTRIES, TRAIN_ROWS = 4000, 8000, 1500, 40_000
+#: Bounds of what is learned from: labelled rows of either class, lexicon entries, documents for the classifier, its words.
+TOXIC_ROWS, CLEAN_ROWS, ENTRIES, TRAIN_ROWS, TERMS = 4000, 8000, 1500, 40_000, 200
 GROUPS, SHORTEST, LONGEST = 8, 4, 7
 #: An entry's share of the toxic sample, and of what it occurs in that is toxic.
 SHARE, PURITY = 0.01, 0.97
-# General insults of four languages.
+# Common abusive words of four languages, as any dictionary marks them.
 INSULTS = """
-asshole bastard bitch clown creep cretin disgusting dumb fool garbage idiot idiots imbecile jerk loser losers lunatic moron
-morons pathetic pig retard scum stupid trash ugly vermin worthless
-arschloch depp dummkopf idiotin mistkerl schlampe schwachkopf trottel
-abruti connard connasse crétin débile imbécile salaud salope
-cabrón estúpido gilipollas idiota imbécil pendejo puta
+arse arsehole ass asshole assholes bastard bastards bimbo bitch bitches blockhead bollocks bozo buffoon bullshit clown clowns
+coward cowards crap creep creeps cretin cretins cunt degenerate despicable dickhead dimwit dipshit disgrace disgusting dork
+douche douchebag dumb dumbass dummy dunce fatso filth filthy fool foolish fools freak fuck fucked fucker fucking garbage
+gobshite halfwit hag hypocrite idiot idiotic idiots ignoramus imbecile imbeciles jackass jerk jerks knobhead lame liar lowlife
+loser losers lunatic maggot moron moronic morons motherfucker muppet nitwit numbskull nutjob parasite pathetic pervert pig pigs
+piss prick psycho punk rat retard retarded rubbish scum scumbag shit shithead shitty simpleton skank slag slob slut snake sod
+stupid swine tosser traitor tramp trash troll twat twit useless vermin vile wanker weirdo whore wimp witch worthless wretch
+arschloch blöd blödmann depp drecksau dumm dummkopf fresse hure hurensohn idiotin mistkerl mistkerle miststück penner sau
+scheisse scheiße schlampe schwachkopf schwein spinner trottel vollidiot wichser
+abruti bâtard bouffon connard connasse conne crétin débile enculé imbécile merde ordure pourri putain pute salaud salope
+cabrón cerdo estúpido gilipollas idiota imbécil maldito mierda pendejo puta tonto zorra
 """.split()
 DISGUISE = str.maketrans("013457@$!", "oieastasi")
 WORD = re.compile(r"[^\W\d_]+")
@@ -57,7 +65,7 @@ NEGATIVE = np.array([v.startswith("clean") for v in VOTERS])
 FEATURES = 8 + len(VOTERS)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _index(entries: tuple[tuple[str, bool], ...]) -> tuple[dict[str, int], dict[str, int], frozenset[str]]:
     words = {e: i for i, (e, whole) in enumerate(entries) if whole}
     heads = {e: i for i, (e, whole) in enumerate(entries) if not whole}
@@ -66,9 +74,12 @@ def _index(entries: tuple[tuple[str, bool], ...]) -> tuple[dict[str, int], dict[
 
 def findings(text: str | None, entries: tuple[tuple[str, bool], ...]) -> tuple[int, list[float]]:
     """A text's votes (bit i: voter i speaks) and features. entries: (text, whether it is a whole word)."""
-    words_of, heads_of, starts = _index(entries)
     low = (text or "").lower()
-    words = WORD.findall(low)
+    return _findings(low, WORD.findall(low), entries)
+
+
+def _findings(low: str, words: list[str], entries: tuple[tuple[str, bool], ...]) -> tuple[int, list[float]]:
+    words_of, heads_of, starts = _index(entries)
     hits: Counter = Counter()
     insults = 0
     for w in [w for w in words if w[:3] in starts]:
@@ -99,19 +110,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of a bounded sample of the labelled rows that are not held out, the smallest hashes of either class."""
     ids = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    # Only ids that have a text count; the limit is taken in each task before the shuffle.
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id"))
-    ids = ids.withColumn("r", rank).filter((F.col("r") <= TOXIC_ROWS) | (F.col("r") <= CLEAN_ROWS)).filter((F.col("toxic") == 0) | (F.col("r") <= TOXIC_ROWS)).drop("r")
+    # Only ids that have a text count; each task hands on no more than the limit.
+    some = lambda y, n: ids.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(n)
+    ids = some(1, TOXIC_ROWS).unionByName(some(0, CLEAN_ROWS))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            words = [WORD.findall((t or "").lower()) for t in d["text"]]
-            five = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
-            yield d.assign(**{f"s{k}": [min(xxhash.xxh32_intdigest(x, k) for x in f) for f in five] for k in (0, 1)})
+    def sketch(texts):
+        words = [WORD.findall((t or "").lower()) for t in texts.to_pylist()]
+        five = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+        yield None, [[min(xxhash.xxh32_intdigest(x, k) for x in f) for f in five] for k in (0, 1)]
 
     # Near copies would count as evidence over and over: of texts with an equal least shingle hash, one stays (twice).
-    rows = rows.mapInPandas(sketch, "text string, toxic int, s0 long, s1 long")
+    rows = arrow_map(rows, ["text", "toxic"], ["text"], sketch, "s0 long, s1 long")
     for k in ("s0", "s1"):
         w = Window.partitionBy("toxic", k).orderBy(F.xxhash64("text"), "text")
         rows = rows.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
@@ -121,25 +131,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     """Words and beginnings of words of the toxic sample: (text, whether it is a whole word)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(texts, toxic):
         seen: tuple[Counter, Counter] = Counter(), Counter()
-        for d in batches:
-            for text, toxic in zip(d["text"], d["toxic"], strict=True):
-                words = set(WORD.findall((text or "").lower()))
-                mine = {f"={w}" for w in words if 3 <= len(w) <= 16}
-                for n in range(SHORTEST, LONGEST + 1):
-                    mine |= {w[:n] for w in words if len(w) >= n}
-                seen[int(toxic)].update(mine)
+        for text, y in zip(texts.to_pylist(), toxic.to_pylist(), strict=True):
+            words = set(WORD.findall((text or "").lower()))
+            mine = {f"={w}" for w in words if 3 <= len(w) <= 16}
+            for n in range(SHORTEST, LONGEST + 1):
+                mine |= {w[:n] for w in words if len(w) >= n}
+            seen[y].update(mine)
         keys = list(seen[0].keys() | seen[1].keys())
-        for i in range(0, len(keys), 1 << 16):
-            part = keys[i : i + (1 << 16)]
-            yield pd.DataFrame({"entry": part, "toxic": [seen[1][k] for k in part], "clean": [seen[0][k] for k in part]})
+        yield [0] * len(keys), [keys, [seen[1][k] for k in keys], [seen[0][k] for k in keys]]
 
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return []
     # The clean sample stands for more rows than the toxic one; shares are compared, not counts.
-    found = sample.mapInPandas(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = arrow_map(sample, [], ["text", "toxic"], count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = F.col("toxic") / sizes[1]
     pure = share / (share + F.col("clean") / sizes[0])
     found = found.filter((F.col("toxic") >= max(5, SHARE * sizes[1])) & (pure >= PURITY))
@@ -238,22 +245,56 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 class Model:
     entries: tuple[tuple[str, bool], ...]
     label_model: LabelModel
+    terms: tuple[str, ...]
+    #: Of the features, the terms and the constant.
     weights: np.ndarray
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features @ self.weights[:-1] + self.weights[-1], -30, 30)))
+    def score(self, features: np.ndarray, terms: list[list[int]]) -> np.ndarray:
+        of = self.weights[FEATURES:-1]
+        z = features @ self.weights[:FEATURES] + self.weights[-1] + np.array([of[t].sum() for t in terms])
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+SEEN = ("_stratamap_votes", "_stratamap_features", "_stratamap_terms")
+
+
+def _observe(df: DataFrame, keep: list[str], entries: tuple[tuple[str, bool], ...], terms: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """Adds votes, features and the terms that occur (numbers of terms) to the kept columns."""
+    number = {t: i for i, t in enumerate(terms)}
 
+    def work(texts):
+        votes, features, found = [], [], []
+        for t in texts.to_pylist():
+            low = (t or "").lower()
+            words = WORD.findall(low)
+            v, f = _findings(low, words, entries)
+            votes.append(v)
+            features.append(f)
+            found.append(sorted({number[w] for w in words if w in number}) if number else [])
+        yield None, [votes, features, found]
 
-def _observe(df: DataFrame, keep: list[str], entries: tuple[tuple[str, bool], ...]) -> DataFrame:
-    """Replaces text by votes and features."""
-    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c in keep)
+    return arrow_map(df, keep, [text], work, f"{SEEN[0]} long, {SEEN[1]} array<float>, {SEEN[2]} array<int>")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            got = [findings(t, entries) for t in d["text"]]
-            yield d[keep].assign(votes=[v for v, _ in got], features=[np.array(f, np.float32) for _, f in got])
 
-    return df.mapInPandas(run, f"{fields + ', ' if fields else ''}votes long, features array<float>")
+def own_terms(sample: DataFrame, model: LabelModel, most: int = TERMS) -> tuple[str, ...]:
+    """Words of the sample (text, votes) that go with the posterior: those whose mean posterior lies furthest above the
+    sample's, in standard errors, and above one half; words of fewer than five documents don't count."""
+
+    def count(texts, votes):
+        p = model.posterior(bits(votes.to_numpy(zero_copy_only=False))) if len(votes) else []
+        n, s = Counter(), Counter()
+        for t, y in zip(texts.to_pylist(), p, strict=True):
+            words = {w for w in WORD.findall((t or "").lower()) if 3 <= len(w) <= 24}
+            n.update(words)
+            if y > 0.01:
+                for w in words:
+                    s[w] += float(y)
+        keys = list(n)
+        yield [0] * len(keys), [keys, [n[k] for k in keys], [s[k] for k in keys]]
+
+    words = arrow_map(sample, [], ["text", SEEN[0]], count, "word string, n long, s double").groupBy("word").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    z = F.round((F.col("s") / F.col("n") - 0.5) * F.sqrt("n"), 6)
+    return tuple(r.word for r in words.filter((F.col("n") >= 5) & (z > 0)).orderBy(F.desc(z), "word").limit(most).collect())
 
 
 def best_shift(scores: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
@@ -273,40 +314,70 @@ def best_shift(scores: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> flo
     return float(tied[len(tied) // 2])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and votes and features of every document (doc_id, votes, features), which the label model was fitted on."""
+def _dense(features: list, terms: list, n: int) -> np.ndarray:
+    x = np.zeros((len(features), FEATURES + n), np.float32)
+    if len(features):
+        x[:, :FEATURES] = np.array(features, np.float32)
+    for i, t in enumerate(terms):
+        x[i, FEATURES + np.array(t, np.int64)] = 1
+    return x
+
+
+def training_sample(docs: DataFrame, text: str = "text", most: int = TRAIN_ROWS) -> DataFrame:
+    """About ``most`` distinct texts: those whose hashes are the smallest."""
+    h = F.xxhash64(F.lit(9), F.col(text))
+    n = docs.select(F.approx_count_distinct(h)).first()[0]
+    share = int(min(1.0, most / max(n, 1)) * (1 << 30))
+    return docs.select(F.col(text).alias("text"), h.alias("h")).filter(F.pmod("h", F.lit(1 << 30)) < share).groupBy("h").agg(F.first("text").alias("text")).select("text")
+
+
+def train(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> tuple[Model, DataFrame]:
+    """The model, and the kept columns, votes, features and terms of every document, whose votes the label model was
+    fitted on."""
+    spark = docs.sparkSession
     sample, _ = stored(labelled_sample(docs, labels), "labelled")
     entries = tuple(dict.fromkeys([*lexicon(sample), *((w, True) for w in INSULTS)]))
-    seen, _ = stored(_observe(docs.select("doc_id", "text"), ["doc_id"], entries), "votes")
-    patterns = seen.groupBy("votes").agg(F.count("*").alias("n")).toPandas()
-    known = _observe(sample, ["toxic"], entries).toPandas()
-    clean_rows, toxic_rows = int((known["toxic"] == 0).sum()), int((known["toxic"] == 1).sum())
     all_labels = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
     prior = 0.1 if all_labels is None else float(all_labels)
-    model = LabelModel.fit(bits(patterns["votes"].to_numpy(np.int64)), patterns["n"].to_numpy(), prior)
-    # A bounded sample of documents, the smallest hashes of their features' and ids' text.
-    rows = seen.count()
-    some = seen.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30)) < int(min(1.0, TRAIN_ROWS / max(rows, 1)) * (1 << 30))).limit(2 * TRAIN_ROWS).toPandas()
-    x = np.array(some["features"].tolist(), float).reshape(-1, FEATURES)
-    y = model.posterior(bits(some["votes"].to_numpy(np.int64)))
-    w = logistic(x, y, np.ones(len(y))) if len(y) else np.zeros(FEATURES + 1)
-    out = Model(entries, model, w)
-    if clean_rows and toxic_rows:
-        toxic = known["toxic"].to_numpy() == 1
-        scores = out.score(np.array(known["features"].tolist(), float))
-        weight = np.where(toxic, prior / toxic_rows, (1 - prior) / clean_rows)
+
+    def fitted(seen: DataFrame) -> LabelModel:
+        patterns = seen.groupBy(SEEN[0]).agg(F.count("*").alias("n")).orderBy(SEEN[0]).toPandas()
+        return LabelModel.fit(bits(patterns[SEEN[0]].to_numpy(np.int64)), patterns["n"].to_numpy(), prior)
+
+    # The classifier's words come from the sample under a label model of its votes, so that one pass over all documents
+    # finds votes and words; the posteriors that train it are of the model over all documents.
+    some, some_path = stored(_observe(training_sample(docs, text), ["text"], entries), "training")
+    terms = own_terms(some, fitted(some))
+    seen, _ = stored(_observe(docs, list(keep), entries, terms, text), "votes")
+    model = fitted(seen)
+    rows = _observe(some.select("text"), [], entries, terms).toPandas()
+    x = _dense(rows[SEEN[1]].tolist(), rows[SEEN[2]].tolist(), len(terms))
+    order = np.lexsort(x.T[::-1]) if len(x) else np.zeros(0, int)  # sums in one order, whatever the tasks
+    y = model.posterior(bits(rows[SEEN[0]].to_numpy(np.int64)))
+    w = logistic(x[order].astype(np.float64), y[order], np.ones(len(y))) if len(y) else np.zeros(FEATURES + len(terms) + 1)
+    remove(spark, some_path)
+    out = Model(entries, model, terms, w)
+    known = _observe(sample, ["toxic"], entries, terms).toPandas()
+    toxic = known["toxic"].to_numpy() == 1
+    if toxic.any() and not toxic.all():
+        scores = out.score(np.array(known[SEEN[1]].tolist(), float), known[SEEN[2]].tolist())
+        weight = np.where(toxic, prior / toxic.sum(), (1 - prior) / (~toxic).sum())
         w[-1] -= best_shift(scores, toxic, weight)
     return out, seen
 
 
 def score(seen: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and predicted, from votes and features, in plain columns."""
+    """The kept columns, score and predicted, from votes and features, in plain columns."""
     w = [float(x) for x in model.weights]
     z = F.lit(w[-1])
-    for i, x in enumerate(w[:-1]):
-        z = z + F.element_at("features", i + 1).cast("double") * F.lit(x)
+    for i, x in enumerate(w[:FEATURES]):
+        z = z + F.element_at(SEEN[1], i + 1).cast("double") * F.lit(x)
+    of = F.array(*map(F.lit, [*w[FEATURES:-1], 0.0]))
+    z = z + F.aggregate(SEEN[2], F.lit(0.0), lambda s, t: s + F.element_at(of, t + 1))
     s = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    return seen.select("doc_id", s.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    kept = [c for c in seen.columns if c not in SEEN]
+    name, label = free(["score", "predicted"], kept)
+    return seen.select(*[F.col(f"`{c}`") for c in kept], s.alias(name)).withColumn(label, (F.col(name) >= 0.5).cast("int"))
 
 
 def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,12 +388,8 @@ def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted to be toxic, with all their columns."""
-    model, _ = train(docs, labels)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            f = np.array([findings(t, model.entries)[1] for t in d["text"]], float).reshape(-1, FEATURES)
-            yield d[model.score(f) < 0.5]
-
-    return docs.mapInPandas(run, docs.schema)
+    """The documents that are not predicted to be toxic, with all their columns. Texts are read once by Python: rows are
+    written aside with what was found in them, and filtered from there."""
+    model, seen = train(docs, labels, tuple(docs.columns))
+    scored = score(seen, model)
+    return scored.filter(F.col(scored.columns[-1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
