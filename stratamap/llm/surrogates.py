@@ -12,10 +12,11 @@ family name by one of its script. The check for collisions is over all atoms of
 surrogate one keeps it, a surrogate may not be an atom that really occurs, and the rest draw again until all differ.
 Where a format runs out of values, later attempts draw longer ones (or octets of any size).
 
-Only documents with entities are written aside and joined; the texts of the others are never shuffled.
+Only documents with entities are joined; the texts of the others are never shuffled.
 
-Nulls: a null text stays null, an empty one empty, both without entities. Rows with null or repeated doc_ids are rows like
-others; rows with equal doc_id and text share their surrogates. An empty table gives no rows.
+Nulls: a null text stays null, an empty one empty, both without entities. Ids take no part: rows with null or repeated doc_ids
+are rows like others, and equal texts get equal surrogates. A very long text costs in proportion to its length and its
+entities. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, stored, table
+from .common import cut, free, stored, table
 
-KEY = "surrogates-v1"
+#: The key where a call or the session names none; whoever knows it can draw the same surrogates.
+KEY, KEY_SETTING = "surrogates-v1", "spark.stratamap.surrogates.key"
 # Given names by gender and script, and parts that family names are made of.
 GIVEN = {
     ("f", "latin"): "Alice Amélie Anna Barbara Carmen Charlotte Clara Elena Emma Eva Hannah Isabel Julia Laura Lucía Marie Mary Nina Olivia Paula Sarah Sofía Sophie Susan".split(),
@@ -46,7 +48,7 @@ FAMILY = {
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Lady", "Frau", "Mme", "Madame", "Mlle", "Señora", "Sra", "Doña", "госпожа", "Κυρία"), "": ("Dr", "Prof")}
 _titles = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _given = "|".join(sorted((n for ns in GIVEN.values() for n in ns), key=len, reverse=True))
-_name = r"\p{Lu}[\p{Ll}\p{Mn}]+(?:-\p{Lu}\p{Ll}+)?"
+_name = r"\p{Lu}(?:['’]\p{Lu})?[\p{Ll}\p{Mn}]+(?:\p{Lu}[\p{Ll}\p{Mn}]+)*(?:-\p{Lu}\p{Ll}+)?"
 #: Kinds in the order that they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -56,7 +58,7 @@ PATTERNS = {
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "secret": r"(?<!\w)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?!\w)",
-    "name": rf"(?<!\p{{L}})(?:(?:{_titles})\.?\h{_name}(?:\h{_name})?|(?:{_given})\h{_name})(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?:(?:{_titles})\.?\h{_name}(?:\h{_name}){{0,3}}+|(?:{_given})\h{_name}(?:\h{_name}){{0,2}}+)(?!\p{{L}})",
 }
 #: An entity begins at the beginning of a word; only the kinds that can begin with its first character are tried.
 _starts = {r"[A-Za-z0-9._%]": ("email",), r"[\d(+]": ("ip", "ssn", "card", "phone"), r"[0-9a-fA-F]": ("secret",), r"[A-Z]": ("iban",), r"[\p{Lu}г]": ("name",)}
@@ -105,10 +107,12 @@ def atoms_of(entities: DataFrame) -> DataFrame:
     first = F.element_at(words, 1)
     gender = F.coalesce(F.when(first.isin(*known["f"]), "f").when(first.isin(*known["m"]), "m"), by_title, F.when(F.crc32(first.cast("binary")) % 2 == 0, "f").otherwise("m"))
     part = lambda kind, atom, lead: F.struct(kind.alias("atom_kind"), atom.alias("atom"), lead.alias("lead"))
-    two = F.array(part(F.concat(F.lit("given-"), gender), first, title), part(F.lit("family"), F.element_at(words, 2), F.substr(body, F.length(first) + 1, F.lit(1))))
+    # The last word is the family name, those before it are given names, each with the gender of the first unless known.
+    of = lambda w: F.when(w.isin(*known["f"]), "given-f").when(w.isin(*known["m"]), "given-m").otherwise(F.concat(F.lit("given-"), gender))
+    several = F.transform(words, lambda w, i: part(F.when(i == F.size(words) - 1, F.lit("family")).otherwise(of(w)), w, F.when(i == 0, title).otherwise(F.lit(" "))))
     # One word after a title is a family name unless it is a known given name.
     one = F.array(part(F.when(first.isin(*known["f"], *known["m"]), F.concat(F.lit("given-"), gender)).otherwise("family"), first, title))
-    name = F.when(F.size(words) == 2, two).otherwise(one)
+    name = F.when(F.size(words) >= 2, several).otherwise(one)
     plain = F.array(part(F.col("kind"), F.when(F.col("kind") == "email", F.lower("entity")).otherwise(F.col("entity")), F.lit("")))
     return e.withColumn("parts", F.when(F.col("kind") == "name", name).otherwise(plain))
 
@@ -120,6 +124,21 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(digits, lambda d, i: F.when((n - i) % 2 == 0, twice(d)).otherwise(d)), F.lit(0), lambda s, x: s + x)
 
 
+def _mod97(iban: Column) -> Column:
+    """Remainder of an IBAN's check: the first four signs go behind the others, letters count from 10."""
+    bare = F.regexp_replace(iban, " ", "")
+    signs = F.split(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4))), "")
+    value = F.transform(signs, lambda c: F.conv(c, 36, 10).cast("int"))
+    return F.aggregate(value, F.lit(0), lambda r, v: (r * F.when(v > 9, 100).otherwise(10) + v) % 97)
+
+
+def _iban(atom: Column, drawn: Column) -> Column:
+    """The drawn number, with valid check digits if the atom's are."""
+    blank = F.concat(F.substr(drawn, F.lit(1), F.lit(2)), F.lit("00"), F.substr(drawn, F.lit(5)))
+    valid = F.concat(F.substr(drawn, F.lit(1), F.lit(2)), F.lpad((98 - _mod97(blank)).cast("string"), 2, "0"), F.substr(drawn, F.lit(5)))
+    return F.when(_mod97(atom) == 1, valid).otherwise(drawn)
+
+
 def _masked(atom: Column, hex_: Column, fixed: Column) -> Column:
     """The atom with letters and digits drawn anew, in their script and case; characters before fixed stay."""
 
@@ -157,7 +176,7 @@ def surrogate(kind: Column, atom: Column, attempt: Column, h: Column) -> Column:
     card = F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), last.cast("string"))
     # No area of a drawn number is one that is never given out.
     ssn = F.concat(F.lpad((1 + _draw(h, 0, 665)).cast("string"), 3, "0"), F.lit("-"), F.lpad((1 + _draw(h, 1, 99)).cast("string"), 2, "0"), F.lit("-"), F.lpad((1 + _draw(h, 2, 9999)).cast("string"), 4, "0"))
-    iban = _masked(atom, h, F.lit(2))
+    iban = _iban(atom, _masked(atom, h, F.lit(2)))
     hexa = lambda c, i: F.when(c.rlike(r"[0-9]"), F.substr(F.lit("0123456789"), _draw(h, i, 10) + 1, F.lit(1))).when(c.rlike("[a-f]"), F.substr(F.lit("abcdef"), _draw(h, i, 6) + 1, F.lit(1))).otherwise(F.substr(F.lit("ABCDEF"), _draw(h, i, 6) + 1, F.lit(1)))
     secret = F.array_join(F.transform(F.split(atom, ""), hexa), "")
     script = _script(atom)
@@ -212,23 +231,24 @@ def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs, text with surrogates, and n_entities."""
-    columns = docs.columns
-    found = docs.withColumn("_stratamap_th", F.xxhash64(F.col(doc_id), F.col(text))).withColumn("_stratamap_ents", detected(F.col(text))).filter(F.size("_stratamap_ents") > 0)
-    found, _ = stored(found, "entities")
-    each = found.select("_stratamap_th", F.explode(F.array_distinct("_stratamap_ents")).alias("entity"))
+    """All columns of docs, text with surrogates, and n_entities (with underscores behind it where docs has that). Texts are
+    searched once: rows are written aside with what was found in them, and only those with entities are joined."""
+    columns, count = docs.columns, free(["n_entities"], docs.columns)[0]
+    ents, th = "_stratamap_ents", "_stratamap_th"
+    found, _ = stored(docs.withColumn(ents, F.coalesce(detected(F.col(text)), F.array().cast("array<string>"))), "entities", "zstd")
+    some = found.filter(F.size(ents) > 0).withColumn(th, F.md5(F.concat_ws("\x1f", ents)))
+    # Rows that hold the same entities in the same order share what stands for them.
+    each = some.select(th, F.posexplode(ents).alias("i", "entity")).dropDuplicates([th, "i"])
     chosen = mapping(each.select("entity").distinct(), key)
-    maps = each.distinct().join(chosen, "entity").groupBy("_stratamap_th").agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("_stratamap_map"))
-    between = F.split(F.col(text), PATTERN, -1)
-    n = F.size("_stratamap_ents")
-    pairs = F.zip_with(F.slice(between, F.lit(1), n), "_stratamap_ents", lambda a, b: F.concat(a, F.element_at(F.col("_stratamap_map"), b)))
-    new = F.concat(F.array_join(pairs, ""), F.element_at(between, -1))
-    changed = found.join(maps, "_stratamap_th").withColumn("_stratamap_new", new)
-    changed = changed.select(*[F.col("_stratamap_new").alias(c) if c == text else F.col(c) for c in columns], n.cast("int").alias("n_entities"))
-    same = docs.filter(~F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))).withColumn("n_entities", F.lit(0))
+    puts = each.join(chosen, "entity").groupBy(th).agg(F.array_sort(F.collect_list(F.struct("i", "replacement"))).alias("_stratamap_put"))
+    pairs = F.zip_with(F.slice(F.split(F.col(text), PATTERN, -1), F.lit(1), F.size(ents)), "_stratamap_put", lambda a, b: F.concat(a, b["replacement"]))
+    new = F.concat(F.array_join(pairs, ""), F.element_at(F.split(F.col(text), PATTERN, -1), -1))
+    changed = some.join(puts, th).withColumn("_stratamap_new", new)
+    changed = changed.select(*[F.col("_stratamap_new").alias(c) if c == text else F.col(f"`{c}`") for c in columns], F.size(ents).cast("int").alias(count))
+    same = found.filter(F.size(ents) == 0).drop(ents).withColumn(count, F.lit(0))
     return same.unionByName(changed)
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with surrogates for personal data."""
-    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents with surrogates for personal data, under the key that the session names in KEY_SETTING."""
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, KEY))
