@@ -13,11 +13,13 @@ Every string of ``LENGTH`` bytes that starts at two places or more is removed at
    segment whose common prefix with a neighbour reaches LENGTH at a column has a repeated window there.
 
 Rounds are at most 2 * LENGTH, not the longest document's length, and a batch of anchors holds at most ``BATCH`` bytes, so
-the columns of a batch are read from memory one after the other and need no external files. An anchor with more than
-``HOT`` distinct segments does not become a group: its windows' hashes are counted instead, over all tasks.
+the columns of a batch are read from memory one after the other. External files of a column's order and prefixes would take
+2 * LENGTH rounds of 16 bytes for every segment, about ten times the text (the README has figures). An anchor with more
+than ``hot`` distinct segments does not become a group: its windows' hashes are counted instead, over all tasks.
 
-Nulls: a null text is empty; a text under LENGTH bytes loses nothing. Rows with null or repeated doc_ids are documents like
-others (equal rows are copies of each other). An empty table gives no rows.
+Texts go by their 128-bit hash: what copies of a text repeat is found once and holds for each of them. Nulls: a null text is
+empty; a text under LENGTH bytes loses nothing; very long texts are scanned in pieces. Ids take no part, so that null, repeated
+and very large ones come back as they are. An empty table gives no rows, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, stored, table, with_fields
+from .common import arrow_map, remove, stored, table
 
 LENGTH, GRAM = 400, 32
 #: Bytes that are scanned at once; a longer document is scanned in pieces that overlap by a window.
@@ -97,33 +99,28 @@ def segments(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM) -> lis
 
 
 def scan(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The segments of (doc_id, th, data)."""
-    schema = with_fields(docs.select("doc_id", "th"), SEGMENT)
-    names = [f.name for f in schema]
+    """The segments of (th, data)."""
 
-    def found(held: list[tuple]) -> pd.DataFrame:
-        rows = [(*held[r[0]][:2], r[1] + held[r[0]][3], *r[2:]) for r in segments([x[2] for x in held], length, gram)]
-        d = pd.DataFrame(rows, columns=names)
-        d["doc_id"] = d["doc_id"].astype("Int64")
-        return d
+    def found(held: list[tuple]) -> tuple[list[int], list]:
+        rows = segments([x[1] for x in held], length, gram)
+        out = [(held[r[0]][0], r[1] + held[r[0]][2], *r[2:]) for r in rows]
+        return [x[0] for x in out], [list(c) for c in zip(*out, strict=True)][1:] if out else [[] for _ in SEGMENT.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts):
         held, size = [], 0
-        for d in batches:
-            for i, th, data in zip(d["doc_id"], d["th"], d["data"], strict=True):
-                i, data = None if pd.isna(i) else int(i), bytes(data)
-                for at in range(0, max(1, len(data) - length + 1), PIECE):
-                    piece = data[at : at + PIECE + length - 1]
-                    if len(piece) >= length:
-                        held.append((i, th, piece, at))
-                        size += len(piece)
-                    if size > SCAN:
-                        yield found(held)
-                        held, size = [], 0
+        for i, data in enumerate(texts):
+            data = data.as_py()
+            for at in range(0, len(data) - length + 1, PIECE):
+                piece = data[at : at + PIECE + length - 1]
+                held.append((i, piece, at))
+                size += len(piece)
+                if size > SCAN:
+                    yield found(held)
+                    held, size = [], 0
         if held:
             yield found(held)
 
-    return docs.mapInPandas(run, schema)
+    return arrow_map(docs, ["th"], ["data"], work, SEGMENT)
 
 
 def repeated_columns(group: np.ndarray, left: np.ndarray, data: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -183,24 +180,32 @@ def runs(places: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 RANGES = "anchor long, content binary, low array<int>, high array<int>"
+RANGE_TYPES = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
 
-def compare(batches: Iterator[pd.DataFrame], length: int = LENGTH) -> Iterator[pd.DataFrame]:
+def compare(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """Repeated windows of (anchor, content, left, bytes), which come sorted by anchor, in batches of whole anchors."""
 
-    def done(held: list[tuple]) -> pd.DataFrame:
+    def done(held: list[tuple]) -> pa.RecordBatch:
         codes = np.unique(np.array([x[0] for x in held]), return_inverse=True)[1]
         found = repeated_columns(codes, np.array([x[2] for x in held]), [x[3] for x in held], length)
-        return pd.DataFrame([(x[0], x[1], *runs(f)) for x, f in zip(held, found, strict=True) if len(f)], columns=["anchor", "content", "low", "high"])
-
-    held, size = [], 0
-    for d in batches:
-        for row in zip(d["anchor"].tolist(), d["content"], d["left"].tolist(), map(bytes, d["bytes"]), strict=True):
-            if size > BATCH and row[0] != held[-1][0]:
-                yield done(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
+        rows = [(x[0], x[1], *runs(f)) for x, f in zip(held, found, strict=True) if len(f)]
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, RANGE_TYPES, strict=True)], names=["anchor", "content", "low", "high"])
+
+    held, size, mine = [], 0, set()
+    for b in batches:
+        for row in zip(*(b[c].to_pylist() for c in ("anchor", "content", "left", "bytes")), strict=True):
+            if not held or row[0] != held[-1][0]:
+                mine = set()
+                if size > BATCH:
+                    yield done(held)
+                    held, size = [], 0
+            # The same segment comes again from rows with equal texts and ids.
+            if row[1] not in mine:
+                mine.add(row[1])
+                held.append(row)
+                size += len(row[3])
     if held:
         yield done(held)
 
@@ -208,42 +213,49 @@ def compare(batches: Iterator[pd.DataFrame], length: int = LENGTH) -> Iterator[p
 def compare_hot(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """As compare(), for anchors with very many segments: counts their windows by column and hash."""
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            for a, c, left, data in zip(d["anchor"], d["content"], d["left"], map(bytes, d["bytes"]), strict=True):
-                n = len(data) - length + 1
-                yield pd.DataFrame({"anchor": a, "content": [c] * n, "w": range(n), "col": [i - left for i in range(n)], "wh": [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)]})
+    def work(lefts, contents):
+        for i, (left, data) in enumerate(zip(lefts.to_pylist(), contents, strict=True)):
+            data = data.as_py()
+            n = len(data) - length + 1
+            yield [i] * n, [list(range(n)), [k - left for k in range(n)], [xxhash.xxh3_128_digest(data[k : k + length]) for k in range(n)]]
 
-    w = rows.select("anchor", "content", "left", "bytes").mapInPandas(explode, "anchor long, content binary, w int, col int, wh binary")
+    w = arrow_map(rows.dropDuplicates(["anchor", "content"]), ["anchor", "content"], ["left", "bytes"], work, "w int, col int, wh binary")
     often = w.groupBy("anchor", "col", "wh").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     hit = w.join(often, ["anchor", "col", "wh"], "left_semi").groupBy("anchor", "content").agg(F.array_sort(F.collect_list("w")).alias("low"))
     return hit.select("anchor", "content", "low", F.transform("low", lambda x: x + 1).alias("high"))
 
 
-def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Of (doc_id, th, data), a row per document that repeats something: doc_id, th, spans (byte ranges, unmerged)."""
-    spark = docs.sparkSession
+def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int | None = None) -> DataFrame:
+    """Of (id, th, data), where th is a hash of data and id one of the row's id, a row per th of a text that repeats something: th,
+    spans (byte ranges, unmerged)."""
+    spark, hot = docs.sparkSession, HOT if hot is None else hot
     every, path = stored(scan(docs, length, gram), "segments")
     twice = every.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor")
     some, _ = stored(every.join(twice, "anchor", "left_semi"), "segments")
     remove(spark, path)
-    content = some.groupBy("anchor", "content").agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "th", "start", "left", "windows")).alias("one"))
+    content = some.groupBy("anchor", "content").agg(F.sum("times").alias("n"), F.min(F.struct("th", "start", "left", "windows")).alias("one"))
     content, _ = stored(content, "contents")
     several = content.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
-    need = content.join(several, "anchor").select("anchor", "content", "m", "n", "one.*")
-    wanted = need.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "content", "m", "left", "start", "windows")).alias("want"))
-    by_doc = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))).select("d.data", "w.want")
-    part = F.expr(f"substring(data, cast(x.start as int) + 1, x.windows + {length - 1})")
-    parts = by_doc.select("data", F.explode("want").alias("x")).select("x.anchor", "x.content", "x.m", "x.left", part.alias("bytes"))
-    parts, _ = stored(parts, "parts")
-    calm = parts.filter(F.col("m") <= HOT).drop("m").repartition("anchor").sortWithinPartitions("anchor")
-    ranges = calm.mapInPandas(lambda it: compare(it, length), RANGES).unionByName(compare_hot(parts.filter(F.col("m") > HOT), length))
+    need = content.join(several, "anchor").select("anchor", "content", "m", "one.*")
+    wanted = need.groupBy("th").agg(F.collect_list(F.struct("anchor", "content", "m", "left", "start", "windows")).alias("want"))
+    # One of a text's copies: those that have its least id (more than one only if these repeat too).
+    one = docs.select("th", "id").join(wanted.select("th"), "th", "left_semi").groupBy("th").agg(F.min("id").alias("id"))
+    by_doc = docs.join(one.join(wanted, "th"), ["th", "id"])
+    # Only the pieces go on, so that the text is not copied for each of them.
+    piece = lambda x: F.struct(x["anchor"].alias("anchor"), x["content"].alias("content"), x["m"].alias("m"), x["left"].alias("left"), F.substring(F.col("data"), x["start"].cast("int") + 1, x["windows"] + (length - 1)).alias("bytes"))
+    parts = by_doc.select(F.explode(F.transform("want", piece)).alias("x")).select("x.*")
+    parts, parts_path = stored(parts, "parts")
+    calm = parts.filter(F.col("m") <= hot).drop("m").repartition("anchor").sortWithinPartitions("anchor")
+    ranges = calm.mapInArrow(lambda it: compare(it, length), RANGES).unionByName(compare_hot(parts.filter(F.col("m") > hot), length))
+    ranges, _ = stored(ranges, "ranges")
+    remove(spark, parts_path)
     whole = content.filter("n > 1").select("anchor", "content", F.lit(True).alias("whole"))
     hits = ranges.join(whole, ["anchor", "content"], "full").select("anchor", "content", "low", "high", "whole")
     at = some.join(hits, ["anchor", "content"])
     pairs = F.arrays_zip("low", "high")
     spans = F.when(F.col("whole"), F.array(F.struct(F.col("start").alias("low"), (F.col("start") + F.col("span")).alias("high")))).otherwise(F.transform(pairs, lambda p: F.struct((F.col("start") + p["low"]).alias("low"), (F.col("start") + p["high"]).alias("high"))))
-    return at.withColumn("spans", spans).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # A set: each task hands on one of what copies of a text have in common.
+    return at.withColumn("spans", spans).groupBy("th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def cut_spans(data: bytes, low: list[int], high: list[int], length: int = LENGTH) -> tuple[bytes, list[tuple[int, int]]]:
@@ -262,25 +274,34 @@ def cut_spans(data: bytes, low: list[int], high: list[int], length: int = LENGTH
     return b"".join([*out, data[at:]]), merged
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int | None = None) -> DataFrame:
     """A row per document: doc_id, kept (the remaining bytes), n_bytes, removed (byte ranges)."""
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(data).alias("th"), data.alias("data"))
-    spans = repeated_intervals(docs, length, gram)
-    l, r = docs.alias("l"), spans.alias("r")
-    both = l.join(r, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.th") == F.col("r.th")), "left")
-    both = both.select("l.doc_id", "l.data", F.col("r.spans.low").alias("low"), F.col("r.spans.high").alias("high"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            got = [(bytes(x), []) if low is None else cut_spans(bytes(x), low, high, length) for x, low, high in zip(d["data"], d["low"], d["high"], strict=True)]
-            yield pd.DataFrame({"doc_id": d["doc_id"].astype("Int64"), "kept": [k for k, _ in got], "n_bytes": [len(x) for x in d["data"]], "removed": [[{"low": a, "high": b} for a, b in m] for _, m in got]})
-
-    return both.mapInPandas(run, "doc_id long, kept binary, n_bytes long, removed array<struct<low:long,high:long>>")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("id"), F.unhex(F.md5(data)).alias("th"), data.alias("data"))
+    spans = repeated_intervals(docs.select("id", "th", "data"), length, gram, hot)
+    both = docs.join(spans, "th", "left").select("doc_id", "data", F.col("spans.low").alias("low"), F.col("spans.high").alias("high"))
+
+    def work(texts, lows, highs):
+        rows, kept, sizes, removed, held = [], [], [], [], 0
+        for i, (x, low, high) in enumerate(zip(texts, lows, highs, strict=True)):
+            x = x.as_py()
+            k, m = (x, []) if not low.is_valid else cut_spans(x, low.as_py(), high.as_py(), length)
+            rows.append(i)
+            kept.append(k)
+            sizes.append(len(x))
+            removed.append([{"low": a, "high": b} for a, b in m])
+            held += len(k)
+            if held > BATCH:
+                yield rows, [kept, sizes, removed]
+                rows, kept, sizes, removed, held = [], [], [], [], 0
+        if rows:
+            yield rows, [kept, sizes, removed]
+
+    return arrow_map(both, ["doc_id"], ["data", "low", "high"], work, "kept binary, n_bytes long, removed array<struct<low:long,high:long>>")
 
 
 def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the 400-byte strings that they repeat."""
+    """All documents without the 400-byte strings that they repeat. repeats says whether a document has any (1 or 0)."""
     d = deduplicate(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["high"] - x["low"])
-    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("removed") > 0).cast("int").alias("repeats"))
