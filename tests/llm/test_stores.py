@@ -94,7 +94,108 @@ def test_store_round_trip(spark):
         assert x.start == at
         at += x.n_tokens
     assert [x.doc_id or -1 for x in sorted(a, key=lambda x: x.start)] == sorted(x.doc_id or -1 for x in a)
-    chunks = spark.read.parquet(f"{store}/chunks")
-    assert chunks.filter("kind = 'chunk'").count() == chunks.select("hash").distinct().count() < chunks.filter("kind = 'ref'").count()
+    chunks, recipes = spark.read.parquet(f"{store}/chunks"), spark.read.parquet(f"{store}/recipes")
+    refs = recipes.selectExpr("explode(hashes) as hash")
+    assert chunks.filter("kind = 'chunk'").count() == refs.distinct().count() < refs.count()
     tokenstore.write_store(d.limit(0), PATH, store + "e")
     assert tokenstore.read_store(spark, store + "e").count() == 0
+
+
+def rewritten(spark, path, change):
+    rows = change([r.asDict() for r in spark.read.parquet(path).orderBy("ordinal").collect()])
+    spark.createDataFrame(rows, spark.read.parquet(path).schema).write.parquet(path + "x")
+    tokenstore.remove(spark, path)
+    spark.read.parquet(path + "x").write.parquet(path)
+
+
+@pytest.mark.parametrize("damage", ["missing", "doubled", "exchanged", "renamed", "none"])
+def test_manifest_notices_changed_recipes(spark, damage, monkeypatch):
+    monkeypatch.setattr(tokenstore, "FAN", 3)
+    store = f"{spark.conf.get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"
+    d = spark.createDataFrame([(i, f"text number {i}, of some length") for i in range(20)], "doc_id long, text string")
+    tokenstore.write_store(d, PATH, store)
+    assert spark.read.parquet(f"{store}/manifest").groupBy("level").count().orderBy("level").collect() == [(1, 7), (2, 3), (3, 1)]
+
+    def change(rows):
+        if damage == "missing":
+            return rows[:-1]
+        if damage == "doubled":
+            return [*rows, rows[3]]
+        if damage == "exchanged":
+            a, b = rows[4], rows[5]
+            a["hashes"], b["hashes"], a["root"], b["root"] = b["hashes"], a["hashes"], b["root"], a["root"]
+        if damage == "renamed":
+            rows[7]["doc_id"] = 700
+        return rows
+
+    rewritten(spark, f"{store}/recipes", change)
+    if damage == "none":
+        assert tokenstore.read_store(spark, store).count() == 20
+    else:
+        for reader in (tokenstore.read_store, tokenstore.read_ids):
+            with pytest.raises(ValueError, match="manifest"):
+                reader(spark, store)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert tokenstore.by_words(PATH) and not tokenstore.by_words(path)
+    tok, e = Tokenizer.from_file(path), tokenstore.WordEncoder(path)
+    texts = ["Hello, World. twice", "a  b\nC", ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_forgotten_and_found_again(monkeypatch):
+    monkeypatch.setattr(tokenstore, "CACHE", 50)
+    tok, e, r = Tokenizer.from_file(PATH), tokenstore.WordEncoder(PATH), random.Random(5)
+    for _ in range(30):
+        texts = [" ".join(r.choice(["often", "seldom, ", "word."]) + str(r.randint(0, 30)) for _ in range(60)) for _ in range(4)]
+        for t, got in zip(texts, e(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert len(e.number) < 200
+
+
+def test_ogg_times_come_from_granule_positions():
+    data = random.Random(1).randbytes(100_032)
+    m = ogg.write(data)
+    plain = ogg.read(m)["times"]
+    assert plain == pytest.approx([i * ogg.PACKET / ogg.RATE for i in range(len(plain))])
+
+    def moved(by, at_least):
+        out, at = [], 0
+        while at < len(m):
+            magic, version, flags, granule, serial, number, _, n = ogg.HEADER.unpack_from(m, at)
+            lacing = m[at + 27 : at + 27 + n]
+            body = m[at + 27 + n : at + 27 + n + sum(lacing)]
+            out.append(ogg._page(serial, number, granule + by if serial == ogg.DATA_SERIAL and granule > at_least else granule, flags, lacing, body))
+            at += 27 + n + len(body)
+        return b"".join(out)
+
+    # A stream that begins late, and one with a hole before its last pages.
+    late = ogg.read(moved(80_000, 0))
+    assert late["error"] is None and late["payload"] == data and late["times"] == pytest.approx([t + 10 for t in plain]) and late["gap_samples"] == 0
+    hole = ogg.read(moved(16_000, 70_000))
+    assert hole["payload"] == data and hole["gap_samples"] == 16_000 and hole["times"][0] == 0 and hole["times"][-1] > plain[-1] + 1
+
+
+def test_ogg_reader_finds_the_next_page_behind_damage():
+    data = random.Random(2).randbytes(200_000)
+    p = ogg.padded(data)
+    m = ogg.write(p)
+    k = m.index(b"OggS", 60_000) + 500
+    r = ogg.read(m[:k] + bytes([m[k] ^ 1]) + m[k + 1 :])
+    assert "checksum" in r["error"] and 0 < len(p) - len(r["payload"]) <= 2 * ogg.PACKET * ogg.PAGE_PACKETS
+    assert r["payload"][:40_000] == p[:40_000] and r["payload"][-40_000:] == p[-40_000:]
+
+
+BIG = 2**60
+
+
+def test_long_ids_next_to_nulls(spark):
+    ids = [BIG + 1, None, BIG + 3, 2**63 - 1]
+    d = spark.createDataFrame([(i, f"some words of text number {k} here", "f", "e") for k, i in enumerate(ids)], "doc_id long, text string, feature string, error string").coalesce(1)
+    store = f"{spark.conf.get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"
+    tokenstore.write_store(d, PATH, store)
+    assert {r.doc_id for r in tokenstore.read_store(spark, store).collect()} == {r.doc_id for r in tokenstore.read_ids(spark, store).collect()} == set(ids)
+    got = ogg.read_media(ogg.store_media(d.selectExpr("*", "binary(text) as payload"), "payload", "media"), "media").collect()
+    assert {r.doc_id for r in got} == set(ids) and got[0].feature == "f" and got[0].error_ is None and "n_samples" in got[0].feature_
