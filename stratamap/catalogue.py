@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .geometry import GridSpec, affine, line_cells, rotation
+from .lineage import cut
 from .operators import matching, points, polygons, poses, raster, surfaces, traversability
 from .streaming import changes
 
@@ -83,7 +84,7 @@ _drive = "CASE class " + " ".join(f"WHEN {k} THEN {v!r}" for k, v in DRIVE.items
 
 def trav(spark: SparkSession, d: str) -> DataFrame:
     cells = tops(spark, d)
-    both = cells.select("xi", "yi").join(raster.slope(cells, GRID), ["xi", "yi"], "left").join(raster.steps(cells, GRID).select("xi", "yi", F.col("max_step").alias("step")), ["xi", "yi"], "left")
+    both = cells.select("xi", "yi").join(raster.terrain(cells, GRID).withColumnRenamed("max_step", "step"), ["xi", "yi"], "left")
     return traversability.classes(both, COUNT, MAX_SLOPE, CLEARANCE)
 
 
@@ -179,9 +180,57 @@ def q_plane_patch(spark, d):
 
 
 def kalman_by_cloud(spark, d) -> DataFrame:
-    p = pts(spark, d)
-    parts = [surfaces.kalman(p.filter(F.col("cloud") == k), GRID).withColumns({"ord": F.lit(i), "height": F.lit(0.0), "type": F.lit(1), "low": F.col("mean"), "high": F.col("mean"), "idx": F.lit(i).cast("long")}) for i, k in enumerate("ANR")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    w = 1 / (F.col("sd") * F.col("sd"))
+    s = raster.to_cells(pts(spark, d), GRID).groupBy("cloud", "xi", "yi").agg(F.sum(F.col("z") * w).alias("wz"), F.sum(w).alias("w"), F.count("*").alias("n"))
+    ord_ = (F.instr(F.lit("ANR"), F.col("cloud")) - 1).cast("int")
+    p = s.select("xi", "yi", (F.col("wz") / F.col("w")).alias("mean"), (1 / F.sqrt("w")).alias("stdev"), "n", ord_.alias("ord"))
+    return p.withColumns({"height": F.lit(0.0), "type": F.lit(1), "low": F.col("mean"), "high": F.col("mean"), "idx": F.col("ord").cast("long")})
+
+
+_WZ = "1 / (sd * sd)"
+ISLANDS = f"""{P}, q AS (SELECT *, CAST(floor(x / 2) AS BIGINT) AS xi, CAST(floor(y) AS BIGINT) AS yi, x - floor(x / 2) * 2 AS px, y - floor(y) AS py, {_WZ} AS w FROM pts),
+g AS (SELECT *, CASE WHEN z - lag(z) OVER (PARTITION BY xi, yi ORDER BY z) >= {{gap}} THEN 1 ELSE 0 END AS fresh FROM q),
+i AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY xi, yi ORDER BY z ROWS UNBOUNDED PRECEDING) AS INTEGER) AS ord FROM g)"""
+
+
+@query(f"""WITH {ISLANDS.format(gap=0.5)}, s AS (SELECT xi, yi, ord, sum(w) AS w, sum(w * z) AS wz, sum(w * z * z) AS wzz, sum(w * w) AS ww, min(z) AS low, max(z) AS high, count(*) AS n FROM i GROUP BY 1, 2, 3)
+SELECT xi, yi, ord, round(wz / w, 9) AS mean, round(CASE WHEN n > 1 THEN sqrt(greatest(greatest(0.0, wzz / w - (wz / w) * (wz / w)) * w * w / nullif(w * w - ww, 0), 1e-6)) ELSE 1 / sqrt(w) END, 4) AS stdev, low, high, n FROM s""")
+def q_gated_sums(spark, d):
+    s = surfaces.gated_sums(pts(spark, d), GRID, 0.5).drop("w")
+    return rounded(rounded(s, 9, "mean"), 4, "stdev")
+
+
+@query(f"""WITH {ISLANDS.format(gap=5.0)}, s AS (SELECT xi, yi, ord, count(*) AS k, sum(w) AS n, min(z) AS low, max(z) AS high, sum(w * px) AS x, sum(w * py) AS y, sum(w * z) AS z, sum(w * px * px) AS xx, sum(w * px * py) AS xy, sum(w * py * py) AS yy, sum(w * px * z) AS xz, sum(w * py * z) AS yz FROM i GROUP BY 1, 2, 3),
+e AS (SELECT *, xx * (yy * n - y * y) - xy * (xy * n - y * x) + x * (xy * y - yy * x) AS det FROM s), f AS (SELECT *, k > 3 AND det > 1e-3 * xx * yy * n AS solid FROM e)
+SELECT xi, yi, ord, k, low, high, round(CASE WHEN solid THEN (xz * (yy * n - y * y) - xy * (yz * n - y * z) + x * (yz * y - yy * z)) / det ELSE 0 END, 6) AS a, round(CASE WHEN solid THEN (xx * (yz * n - z * y) - xz * (xy * n - y * x) + x * (xy * z - yz * x)) / det ELSE 0 END, 6) AS b, round(CASE WHEN solid THEN (xx * (yy * z - y * yz) - xy * (xy * z - yz * x) + xz * (xy * y - yy * x)) / det ELSE z / n END, 6) AS c FROM f""")
+def q_gated_planes(spark, d):
+    return rounded(surfaces.gated_planes(pts(spark, d), GRID, 5.0), 6, "a", "b", "c").select("xi", "yi", "ord", "k", "low", "high", "a", "b", "c")
+
+
+@query(f"WITH {C} SELECT a.xi, a.yi, (a.low < b.top AND a.top > b.top) OR (a.low < b.low AND a.top > b.low) AS over FROM cells a JOIN cells b ON b.xi = a.xi + 1 AND b.yi = a.yi")
+def q_interval_overlap(spark, d):
+    """Whether a cell's span of heights reaches over an end of that of the cell to its right."""
+    c = tops(spark, d)
+    right = c.select((F.col("xi") - 1).alias("xi"), "yi", F.col("low").alias("low2"), F.col("top").alias("top2"))
+    return c.join(right, ["xi", "yi"]).select("xi", "yi", surfaces.overlap(F.col("low"), F.col("top"), F.col("low2"), F.col("top2")).alias("over"))
+
+
+SLOW_TURN = affine((3.0, -1.0, 2.0), rotation(0.02, -0.01, 0.3))
+WIDE = GridSpec(40, 30, 2.0, 1.0, -12.0, -6.0)
+_to = ", ".join(f"{float(r[0])!r} * ((xi + 0.5) * 2) + {float(r[1])!r} * (yi + 0.5) + {float(r[2])!r} * mean + {float(r[3])!r} AS {n}" for n, r in zip("uvw", SLOW_TURN, strict=False))
+
+
+@query(f"WITH {P}, k AS ({KAL.format(by='cloud,', where='')}), t AS (SELECT cloud, {_to}, stdev, n FROM k), c AS (SELECT cloud, CAST(floor((u + 12.0) / 2) AS BIGINT) AS xi, CAST(floor(v + 6.0) AS BIGINT) AS yi, w, stdev, n FROM t) SELECT xi, yi, CAST(CASE cloud WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS INTEGER) AS ord, round(w, 6) AS mean, round(sqrt(stdev * stdev + 0.04), 6) AS stdev, n FROM c WHERE xi BETWEEN 0 AND 39 AND yi BETWEEN 0 AND 29")
+def q_moved_patches(spark, d):
+    return rounded(surfaces.moved(kalman_by_cloud(spark, d), GRID, WIDE, SLOW_TURN, 0.04).select("xi", "yi", "ord", "mean", "stdev", "n"), 6, "mean", "stdev")
+
+
+@query()
+def q_merge_moved(spark, d):
+    """One cloud's map and another's, which is turned against it, in one map."""
+    k = kalman_by_cloud(spark, d)
+    still, turned = (surfaces.moved(k.filter(F.col("ord") == i), GRID, WIDE, m, v) for i, m, v in ((0, affine(), 0.0), (1, SLOW_TURN, 0.04)))
+    return rounded(surfaces.merge([still, turned], gap=20.0), 6, "mean", "stdev", "height")
 
 
 @query(f"WITH {P}, k AS ({KAL.format(by='cloud,', where='')}) SELECT xi, yi, round(max(mean), 6) AS mean, round(arg_max(stdev, mean), 6) AS stdev FROM k GROUP BY 1, 2")
@@ -259,10 +308,10 @@ def q_quantise(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", raster.quantise(F.col("l_discount") * 10).alias("p"))
 
 
-@query(f"WITH {C} SELECT xi, yi, round(top / 10 * ((xi + 0.5) * 2), 9) AS x, round(top / 10 * (yi + 0.5), 9) AS y, round(top / 10, 9) AS z, round(top / 100, 9) AS variance FROM cells WHERE top / 10 < 10")
+@query(f"WITH {C} SELECT xi, yi, round(top / 13 * ((xi + 0.5) * 2), 9) AS x, round(top / 13 * (yi + 0.5), 9) AS y, round(top / 13, 9) AS z, round(top / 130, 9) AS variance FROM cells WHERE top / 13 < 8")
 def q_distance_points(spark, d):
-    cells = tops(spark, d).select("xi", "yi", (F.col("top") / 10).alias("distance"))
-    return rounded(points.from_distances(cells, GRID, affine()), 9, "x", "y", "z", "variance").select("xi", "yi", "x", "y", "z", "variance")
+    cells = tops(spark, d).select("xi", "yi", (F.col("top") / 13).alias("distance"))
+    return rounded(points.from_distances(cells, GRID, affine(), farthest=8.0), 9, "x", "y", "z", "variance").select("xi", "yi", "x", "y", "z", "variance")
 
 
 @query(f"WITH {T} SELECT xi, yi, class, probability FROM trav")
@@ -451,8 +500,8 @@ def q_frame_chain(spark, d):
     f = f.unionByName(_t(spark, d, "supplier").select(key("s", "s_suppkey").alias("frame"), key("n", "s_nationkey").alias("parent"), (c("s_suppkey") * 100.0).alias("tx")))
     up = f.select("frame", c("frame").alias("root"), "parent", "tx", F.lit(0).alias("depth"))
     done = up.filter("parent is null")
-    for _ in range(2):
-        up = up.filter("parent is not null").join(f.select(c("frame").alias("parent"), c("parent").alias("grand"), c("tx").alias("more")), "parent").select("frame", c("parent").alias("root"), c("grand").alias("parent"), (c("tx") + c("more")).alias("tx"), (c("depth") + 1).alias("depth"))
+    while not (up := cut(up.filter("parent is not null"))).isEmpty():
+        up = up.join(f.select(c("frame").alias("parent"), c("parent").alias("grand"), c("tx").alias("more")), "parent").select("frame", c("parent").alias("root"), c("grand").alias("parent"), (c("tx") + c("more")).alias("tx"), (c("depth") + 1).alias("depth"))
         done = done.unionByName(up.filter("parent is null"))
     return done.select("frame", "root", "tx", "depth")
 
@@ -477,7 +526,10 @@ def q_event_net_state(spark, d):
     return changes.net_state(log(spark, d))
 
 
-@query()
+@query(f"""WITH {LOG}, m AS (SELECT *, lag(op) OVER (PARTITION BY id_a ORDER BY seq) AS before FROM log WHERE op <> 'UPDATE'),
+e AS (SELECT type, id_a, id_b, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(op, CASE WHEN before IS NULL OR before = op THEN seq END) AS settled FROM m GROUP BY 1, 2, 3),
+u AS (SELECT type, id_a, id_b, max(CASE WHEN op = 'UPDATE' THEN seq END) AS seq, max(CASE WHEN op = 'REMOVE' THEN seq END) AS gone FROM log GROUP BY 1, 2, 3)
+SELECT type, id_a, id_b, seq, op FROM e WHERE op = settled UNION ALL SELECT type, id_a, id_b, seq, 'UPDATE' FROM u WHERE seq IS NOT NULL AND (gone IS NULL OR seq > gone)""")
 def q_event_compaction(spark, d):
     return changes.compact(log(spark, d))
 

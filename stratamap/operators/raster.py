@@ -47,6 +47,20 @@ def inner(spec: GridSpec) -> Column:
     return F.col("xi").between(1, spec.nx - 2) & F.col("yi").between(1, spec.ny - 2)
 
 
+def measured_often(cells: DataFrame, least: int, count: str = "n") -> DataFrame:
+    """Cells whose patch is of at least so many measurements."""
+    return cells.filter(F.col(count) >= least)
+
+
+def terrain(cells: DataFrame, spec: GridSpec, band: str = "top") -> DataFrame:
+    """slope and max_step of each cell, as slope() and steps() give them, from one join with the eight neighbours."""
+    n = with_neighbours(cells, OPPOSITE, band).filter(inner(spec)).withColumns({"px": F.col("dx") * spec.sx, "py": F.col("dy") * spec.sy, "pz": F.col("own") - F.col("other")})
+    px, py, pz = F.col("px"), F.col("py"), F.col("pz")
+    s = n.groupBy(*CELL).agg(F.count("*").alias("k"), F.max(F.abs("pz")).alias("max_step"), *[F.sum(e).alias(f"m_{k}") for k, e in (("x", px), ("y", py), ("z", pz), ("xx", px * px), ("xy", px * py), ("yy", py * py), ("xz", px * pz), ("yz", py * pz))])
+    a, b, _ = plane({"n": F.col("k") + 1, **{k: F.col(f"m_{k}") for k in ("x", "y", "z", "xx", "xy", "yy", "xz", "yz")}})
+    return s.filter("k >= 5").select(*CELL, F.acos(1 / F.sqrt(a * a + b * b + 1)).alias("slope"), "max_step")
+
+
 def steps(cells: DataFrame, spec: GridSpec, band: str = "top", threshold: float = 0.25) -> DataFrame:
     """max_step and corrected_step: the largest difference to the eight neighbours, and the same less the even slope between
     opposite neighbours where it is under the threshold. Unknown (absent) at borders and with under five neighbours."""
@@ -130,6 +144,11 @@ def quantise(p: Column) -> Column:
     return F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), p * 255))).cast("int")
 
 
+def probability(byte: Column) -> Column:
+    """Back from quantise(), to within one step."""
+    return byte / 255.0
+
+
 def add_bump(cells: DataFrame, spec: GridSpec, band: str, height: float, x: float, y: float, sigma: float) -> DataFrame:
     cx, cy = spec.centre(F.col("xi"), F.col("yi"))
     return cells.withColumn(band, F.col(band) + height * F.exp(-((cx - x) * (cx - x) + (cy - y) * (cy - y)) / (2 * sigma * sigma)))

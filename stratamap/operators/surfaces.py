@@ -10,9 +10,11 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..geometry import GridSpec
 from .raster import CELL, plane, to_cells
@@ -51,6 +53,83 @@ def planes(points: DataFrame, spec: GridSpec, least: float = 1e-3) -> DataFrame:
     return s.filter("k > 3").filter(det > least * m["xx"] * m["yy"] * F.col("n")).select(*CELL, a.alias("a"), b.alias("b"), c.alias("c"), "k")
 
 
+def overlap(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
+    """Whether an interval reaches over an end of another. It is not symmetric: one that lies wholly inside another, or has both
+    its ends in common with it, reaches over none."""
+    return ((a1 < b2) & (a2 > b2)) | ((a1 < b1) & (a2 > b1))
+
+
+def islands(points: DataFrame, spec: GridSpec, gap: float) -> DataFrame:
+    """Measurements with their cell and island: by rising z, one begins a new island if it lies a gap or more above the one
+    before. That is how gated updates group a cell's measurements that come by rising z: a measurement joins a patch if
+    the patch, widened by the gap, reaches over it."""
+    w = Window.partitionBy(*CELL).orderBy("z")
+    d = to_cells(points, spec).withColumn("_new", F.coalesce((F.col("z") - F.lag("z").over(w) >= gap).cast("int"), F.lit(0)))
+    return d.withColumn("ord", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("_new")
+
+
+def gated_sums(points: DataFrame, spec: GridSpec, gap: float = 1.0) -> DataFrame:
+    """The gated SUM update: patches (xi, yi, ord by rising height) with weighted mean and spread, bounds, n and weight."""
+    w, z = 1 / (F.col("sd") * F.col("sd")), F.col("z")
+    s = islands(points, spec, gap).groupBy(*CELL, "ord").agg(F.sum(w).alias("w"), F.sum(w * z).alias("wz"), F.sum(w * z * z).alias("wzz"), F.sum(w * w).alias("ww"), F.min(z).alias("low"), F.max(z).alias("high"), F.count("*").alias("n"))
+    mean, weight = F.col("wz") / F.col("w"), F.col("w")
+    spread = F.greatest(F.lit(0.0), F.col("wzz") / weight - mean * mean) * weight * weight / F.nullif(weight * weight - F.col("ww"), F.lit(0.0))
+    return s.select(*CELL, "ord", mean.alias("mean"), F.when(F.col("n") > 1, F.sqrt(F.greatest(spread, F.lit(1e-6)))).otherwise(1 / F.sqrt("w")).alias("stdev"), "low", "high", "n", "w")
+
+
+def gated_planes(points: DataFrame, spec: GridSpec, gap: float = 1.0, least: float = 1e-3) -> DataFrame:
+    """The gated SLOPE update: as gated_sums(), and the weighted plane z = a x + b y + c over places in the cell. Patches of three
+    measurements or fewer, or whose places are (nearly) on a line, lie flat at their weighted mean."""
+    px, py = spec.rest(F.col("x"), F.col("y"))
+    d = islands(points, spec, gap).withColumns({"px": px, "py": py, "w": 1 / (F.col("sd") * F.col("sd"))})
+    w, x, y, z = (F.col(c) for c in ("w", "px", "py", "z"))
+    s = d.groupBy(*CELL, "ord").agg(F.count("*").alias("k"), F.sum(w).alias("n"), F.min(z).alias("low"), F.max(z).alias("high"), *[F.sum(w * e).alias(f"m_{k}") for k, e in (("x", x), ("y", y), ("z", z), ("xx", x * x), ("xy", x * y), ("yy", y * y), ("xz", x * z), ("yz", y * z))])
+    m = {k: F.col(f"m_{k}") for k in ("x", "y", "z", "xx", "xy", "yy", "xz", "yz")} | {"n": F.col("n")}
+    det = m["xx"] * (m["yy"] * m["n"] - m["y"] * m["y"]) - m["xy"] * (m["xy"] * m["n"] - m["y"] * m["x"]) + m["x"] * (m["xy"] * m["y"] - m["yy"] * m["x"])
+    solid = (F.col("k") > 3) & (det > least * m["xx"] * m["yy"] * m["n"])
+    s = s.withColumn("_solid", solid)
+    a, b, c = (F.when(F.col("_solid"), e) for e in plane(m))
+    return s.select(*CELL, "ord", F.coalesce(a, F.lit(0.0)).alias("a"), F.coalesce(b, F.lit(0.0)).alias("b"), F.coalesce(c, m["z"] / m["n"]).alias("c"), "low", "high", "k")
+
+
+def moved(patches: DataFrame, source: GridSpec, target: GridSpec, m: np.ndarray, variance: float = 0.0) -> DataFrame:
+    """Patches of a map in another frame: each one's centre, at its mean, goes by the affine m (source frame into target
+    frame) into a target cell, with the variance of the transform in z added. Patches that leave the target go; so maps that
+    are not aligned can be merged and matched."""
+    cx, cy = source.centre(F.col("xi"), F.col("yi"))
+    at = [cx * float(r[0]) + cy * float(r[1]) + F.col("mean") * float(r[2]) + float(r[3]) for r in np.asarray(m)[:3]]
+    xi, yi = target.cell(F.col("_x"), F.col("_y"))
+    d = patches.withColumns({"_x": at[0], "_y": at[1], "_z": at[2]})
+    d = d.withColumns({"xi": xi, "yi": yi, **{c: F.col(c) + F.col("_z") - F.col("mean") for c in ("low", "high") if c in patches.columns}})
+    d = d.withColumn("mean", F.col("_z")).drop("_x", "_y", "_z").filter(target.inside(F.col("xi"), F.col("yi")))
+    return d.withColumn("stdev", F.sqrt(F.col("stdev") * F.col("stdev") + variance)) if variance else d
+
+
+def min_z(k: float = 2.0) -> Column:
+    """The lowest height of a patch, k deviations below its bottom."""
+    return F.col("mean") - F.col("height") - k * F.col("stdev")
+
+
+def max_z(k: float = 2.0) -> Column:
+    return F.col("mean") + k * F.col("stdev")
+
+
+def plane_height(x: Column, y: Column) -> Column:
+    """Height of a patch's plane (a, b, c) at a place in its cell."""
+    return F.col("a") * x + F.col("b") * y + F.col("c")
+
+
+def plane_slope() -> Column:
+    """The angle of a patch's plane."""
+    return F.acos(1 / F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + 1))
+
+
+def plane_normal() -> Column:
+    """The unit normal of a patch's plane, as a struct (nx, ny, nz)."""
+    norm = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + 1)
+    return F.struct((-F.col("a") / norm).alias("nx"), (-F.col("b") / norm).alias("ny"), (1 / norm).alias("nz"))
+
+
 @dataclass
 class Patch:
     mean: float

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..geometry import GridSpec, line_cells
-from ..lineage import cut
+from ..lineage import cut, numbered
 from .raster import CELL, OPPOSITE, plane, spread, with_neighbours
 
 UNKNOWN, OBSTACLE = 0, 1
@@ -90,16 +90,24 @@ def worst(cells: DataFrame, drive: dict[int, float]) -> DataFrame:
     return known.agg(F.min_by("class", F.struct(value[F.col("class")], "class")).alias("class"), F.min("probability").alias("probability"))
 
 
-def flood(patches: DataFrame, start: tuple[int, int, float], robot_height: float, max_step: float, outlier_n: float = 0.0, outlier_sd: float = float("inf")) -> DataFrame:
-    """The patches that a robot can reach from a start (xi, yi, height), level by level: each round, the cells next to the last
+def flood(patches: DataFrame, start: tuple[int, int, float], robot_height: float, max_step: float, outlier_n: float = 0.0, outlier_sd: float = float("inf"), rings: int = 9) -> DataFrame:
+    """The patches that a robot can reach from a start (xi, yi, height), level by level. The start is the patch where the robot
+    fits and whose height is nearest, in the first ring of cells around the start cell that has one, up to ``rings``; it is a
+    ValueError if none has. Each round, the cells next to the last
     level's are reached from the earliest of these, and choose a patch where the robot fits. (xi, yi, mean, stdev, level,
     is_obstacle); what blocks the way is in the result but not walked from. Lineage is cut every round."""
     p = patches.filter(~((F.col("n") < outlier_n) & (F.col("stdev") > outlier_sd)))
     tops = p.withColumns({"up": F.col("mean") + F.col("stdev"), "down": F.col("mean") - F.col("stdev")})
     xi, yi, height = start
-    at = tops.filter((F.col("xi") == xi) & (F.col("yi") == yi)).orderBy(F.abs(F.col("up") - height), "ord").limit(1)
+    near = tops.withColumn("ring", F.greatest(F.abs(F.col("xi") - xi), F.abs(F.col("yi") - yi))).filter(F.col("ring") <= rings)
+    # The start cell's own nearest patch serves whatever stands above it; further out the robot has to fit.
+    fits = choose(near.filter("ring > 0").withColumns({"floor": F.lit(float(height)), "turn": F.col("ring")}), robot_height, max_step).filter(~F.col("is_obstacle"))
+    at = near.filter("ring = 0").select(*CELL, "mean", "stdev", "up", "ring", "ord").unionByName(fits.select(*CELL, "mean", "stdev", "up", F.col("turn").alias("ring"), F.lit(0).alias("ord")))
+    at = at.orderBy("ring", F.abs(F.col("up") - height), "ord", "yi", "xi").limit(1)
     keep = [*CELL, "mean", "stdev", "up", "level", "seq", "is_obstacle"]
     seen = cut(at.withColumns({"level": F.lit(0), "seq": F.lit(0).cast("long"), "is_obstacle": F.lit(False)}).select(*keep))
+    if seen.isEmpty():
+        raise ValueError("no patch to start from")
     last, level = seen, 0
     sides = [(a, b) for b in (-1, 0, 1) for a in (-1, 0, 1) if (a, b) != (0, 0)]
     o = F.array(*[F.struct(F.lit(a).cast("long").alias("dx"), F.lit(b).cast("long").alias("dy"), F.lit(i).alias("side")) for i, (a, b) in enumerate(sides)])
@@ -110,20 +118,12 @@ def flood(patches: DataFrame, start: tuple[int, int, float], robot_height: float
         # The first to ask, in the order in which a queue would have asked.
         asked = asked.join(seen.select(*CELL), CELL, "left_anti").groupBy(*CELL).agg(F.min_by(F.struct("floor", "turn"), "turn").alias("a")).select(*CELL, "a.*")
         found = choose(asked.join(tops, CELL), robot_height, max_step)
-        order = F.rank().over(_by_turn())
-        step = cut(found.withColumns({"level": F.lit(level), "seq": order.cast("long")}).select(*keep))
+        step = numbered(found.withColumn("level", F.lit(level)), "turn", "seq").select(*keep)
         if step.isEmpty():
             return seen.select(*CELL, "mean", "stdev", "level", "is_obstacle")
         seen, last = cut(seen.unionByName(step)), step
 
 
-def _by_turn():
-    from pyspark.sql.window import Window
-
-    # A level of the flood is one ring of cells; its places in the queue are numbered anew so that they don't grow.
-    return Window.orderBy("turn")
-
-
 def choose(candidates: DataFrame, robot_height: float, max_step: float) -> DataFrame:
     """Per cell (with floor, turn): the patch the robot gets to. Patches out of reach above go; the first one in order that
     stands in the way at head or step height blocks; else the nearest top, climbing to any patch above it that leaves too

@@ -5,6 +5,7 @@ plans, in topological order."""
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -82,13 +83,18 @@ class Catalog:
                 self.detach(child, True)
             for m in [m for m, f in self.at.items() if f == id]:
                 self.detach(m)
-        self.parent = {c: p for c, p in self.parent.items() if id not in (c, p)}
-        self.layers = {x for x in self.layers if id not in x}
-        self.at = {m: f for m, f in self.at.items() if id not in (m, f)}
-        for links in (self.inputs, self.outputs):
-            links.pop(id, None)
-            for o in links:
-                links[o] = [x for x in links[o] if x != id]
+        for c in [c for c, p in self.parent.items() if id in (c, p)]:
+            self.remove_parent(c)
+        for child, parent in sorted(x for x in self.layers if id in x):
+            self.remove_layer(child, parent)
+        for m in [m for m, f in self.at.items() if id in (m, f)]:
+            self.unbind(m)
+        for o in sorted({*self.inputs, *self.outputs}):
+            for kind in ("op_input", "op_output"):
+                for x in [x for x in self._links(kind).get(o, []) if id in (o, x)]:
+                    self.disconnect(kind, o, x)
+        self.inputs.pop(id, None)
+        self.outputs.pop(id, None)
         del self.items[id]
         self._tell("item", "REMOVE", id)
 
@@ -98,14 +104,28 @@ class Catalog:
             if up == child:
                 raise ValueError("a frame can't be under itself")
             up = self.parent.get(up)
+        self.remove_parent(child)
         self.parent[child] = parent
         self._tell("frame_tree", "ADD", child, parent)
 
+    def remove_parent(self, child: str) -> None:
+        if child in self.parent:
+            self._tell("frame_tree", "REMOVE", child, self.parent.pop(child))
+
     def add_layer(self, child: str, parent: str) -> None:
         self.layers.add((child, parent))
         self._tell("layer_tree", "ADD", child, parent)
 
+    def remove_layer(self, child: str, parent: str) -> None:
+        self.layers.discard((child, parent))
+        self._tell("layer_tree", "REMOVE", child, parent)
+
+    def unbind(self, map_: str) -> None:
+        if map_ in self.at:
+            self._tell("map_frame", "REMOVE", map_, self.at.pop(map_))
+
     def bind(self, map_: str, frame: str) -> None:
+        self.unbind(map_)
         self.at[map_] = frame
         self._tell("map_frame", "ADD", map_, frame)
 
@@ -116,11 +136,22 @@ class Catalog:
         for x in outputs:
             if self.generator(x) not in (None, op):
                 raise ValueError(f"{x} has a generator")
+        for kind in ("op_input", "op_output"):
+            for x in list(self._links(kind).get(op, [])):
+                self.disconnect(kind, op, x)
         self.inputs[op], self.outputs[op] = list(inputs), list(outputs)
         for kind, xs in (("op_input", inputs), ("op_output", outputs)):
             for x in xs:
                 self._tell(kind, "ADD", op, x)
 
+    def _links(self, kind: str) -> dict[str, list[str]]:
+        return self.inputs if kind == "op_input" else self.outputs
+
+    def disconnect(self, kind: str, op: str, layer: str) -> None:
+        """Takes one input or output (kind op_input or op_output) from an operator."""
+        self._links(kind)[op].remove(layer)
+        self._tell(kind, "REMOVE", op, layer)
+
     def generator(self, layer: str) -> str | None:
         return next((o for o, xs in self.outputs.items() if layer in xs), None)
 
@@ -166,7 +197,7 @@ class Catalog:
                 to.set_parent(f, under)
             under = f
         m = self.items[map_]
-        to.attach(Item("map", m.label, frame=m.frame, metadata=dict(m.metadata)), map_)
+        to.attach(Item("map", m.label, frame=m.frame, metadata=copy.deepcopy(m.metadata)), map_)
         to.bind(map_, under)
         return map_
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
+import struct
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..geometry import GridSpec
 
@@ -204,10 +207,156 @@ def read_tiles(spark: SparkSession, path: str, x: tuple[int, int], y: tuple[int,
     return d.filter(F.col("xi").between(*x) & F.col("yi").between(*y)).drop("tile_x", "tile_y")
 
 
-def admitted(scans: DataFrame, least: float, keep: int) -> DataFrame:
-    """Scan poses (seq, x, y) at least a distance from the last ``keep`` of the stream before them, by a window over seq
-    per sensor."""
-    w = Window.partitionBy("sensor").orderBy("seq").rowsBetween(-keep, -1)
-    before = F.collect_list(F.struct("x", "y")).over(w)
-    near = F.exists(before, lambda p: F.hypot(p["x"] - F.col("x"), p["y"] - F.col("y")) < least)
-    return scans.withColumn("_near", near).filter(~F.col("_near")).drop("_near")
+def admitted(scans: DataFrame, least: float, keep: int, turn: float = math.inf) -> DataFrame:
+    """Scan poses (sensor, seq, x, y, and yaw if there is one) that are at least a distance (or, in yaw, a turn) from each of
+    the last ``keep`` admitted ones. What is admitted depends on what was, so a sensor's scans stream by in order after one
+    sort; only the poses kept are held."""
+    has_yaw = "yaw" in scans.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, kept = None, deque(maxlen=keep)
+        for d in batches:
+            take = []
+            yaws = d["yaw"] if has_yaw else [0.0] * len(d)
+            for sensor, x, y, yaw in zip(d["sensor"], d["x"], d["y"], yaws, strict=True):
+                if sensor != at:
+                    at, kept = sensor, deque(maxlen=keep)
+                new = all(math.hypot(a - x, b - y) >= least or abs(math.remainder(c - yaw, 2 * math.pi)) >= turn for a, b, c in kept)
+                take.append(new)
+                if new:
+                    kept.append((x, y, yaw))
+            yield d[np.array(take, bool)]
+
+    return scans.repartition("sensor").sortWithinPartitions("sensor", "seq").mapInPandas(run, scans.schema)
+
+
+MLS_HEAD = re.compile(rb"mls\n(1\.[0-3])\n(\d+)\nbin\n")
+#: Moments of a weighted plane that a 1.3 record holds behind its height.
+MOMENTS = ("x", "y", "z", "xx", "yy", "xy", "xz", "yz", "zz", "w")
+
+
+def _mls_record(version: str) -> np.dtype:
+    """A record of a surface map file: a C structure, aligned as on 64-bit machines."""
+    number = "<f4" if version >= "1.2" else "<f8"
+    fields = [("mean", number), ("stdev", number), ("height", number)]
+    if version == "1.3":
+        fields += [*((f"m_{m}", "<f4") for m in MOMENTS), ("low", "<f4"), ("high", "<f4"), ("n", "<f4"), ("normsq", "<f4"), ("idx", "<u8"), ("color", "u1", (3,)), ("type", "<i4")]
+    else:
+        fields += [("horizontal", "u1"), ("idx", "<u8")]
+        fields += {"1.0": [], "1.1": [("color", "<f8", (3,))], "1.2": [("color", "u1", (3,))]}[version]
+    return np.dtype([*fields, ("xi", "<u8"), ("yi", "<u8")], align=True)
+
+
+def parse_mls(data: bytes) -> pd.DataFrame:
+    """Patches of a surface map file of version 1.0 to 1.3, in list order (a patch of before 1.3 is one measurement)."""
+    head = MLS_HEAD.match(data)
+    if not head:
+        raise ValueError("not a surface map file of a known version")
+    version = head[1].decode()
+    record = _mls_record(version)
+    if int(head[2]) != record.itemsize:
+        raise ValueError("records of another size")
+    r = np.frombuffer(data, record, (len(data) - head.end()) // record.itemsize, head.end())
+    p = pd.DataFrame({n: r[n].astype("f8") for n in ("mean", "stdev", "height")} | {n: r[n].astype("i8") for n in ("xi", "yi", "idx")})
+    if version == "1.3":
+        p = p.assign(n=r["n"].astype("f8"), low=r["low"].astype("f8"), high=r["high"].astype("f8"), type=r["type"].astype("i8"))
+    else:
+        p = p.assign(n=1.0, low=p["mean"], high=p["mean"], type=np.where(r["horizontal"] > 0, 1, 0))
+    return p.assign(ord=p.groupby(["xi", "yi"]).cumcount())
+
+
+def format_mls(patches: pd.DataFrame) -> bytes:
+    """A surface map file of version 1.3, x outermost, in list order; the plane of a patch lies flat at its mean."""
+    p = patches.sort_values(["xi", "yi", "ord"])
+    out = np.zeros(len(p), _mls_record("1.3"))
+    for n in ("mean", "stdev", "height", "low", "high", "n", "idx", "type", "xi", "yi"):
+        out[n] = p[n].to_numpy()
+    w = 1 / np.maximum(p["stdev"].to_numpy(float), 1e-12) ** 2
+    out["normsq"], out["m_w"], out["m_z"], out["m_zz"] = w * w, w, w * p["mean"], w * p["mean"] ** 2
+    return b"mls\n1.3\n%d\nbin\n" % out.dtype.itemsize + out.tobytes()
+
+
+def read_mls(spark: SparkSession, path: str) -> DataFrame:
+    """(file, xi, yi, ord, mean, stdev, height, n, low, high, idx, type) of surface map files."""
+    names = ["xi", "yi", "ord", "mean", "stdev", "height", "n", "low", "high", "idx", "type"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for file, data in zip(d["path"], d["content"], strict=True):
+                yield parse_mls(bytes(data)).assign(file=file)[["file", *names]]
+
+    kinds = "xi long, yi long, ord int, mean double, stdev double, height double, n double, low double, high double, idx long, type long"
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"file string, {kinds}")
+
+
+# TIFF tags and the sizes of its value types.
+TIFF = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "offsets": 273, "samples": 277, "rows": 278, "counts": 279, "planar": 284, "format": 339, "scale": 33550, "tie": 33922, "nodata": 42113}
+TIFF_TYPES = {1: "u1", 2: "S1", 3: "u2", 4: "u4", 11: "f4", 12: "f8"}
+
+
+def format_tiff(bands: np.ndarray, spec: GridSpec, nodata: float | None = None) -> bytes:
+    """Uncompressed bands (band, row, column; row 0 is the lowest of the grid) as a GeoTIFF, whose first row is the highest."""
+    n, h, w = bands.shape
+    data = bands[:, ::-1].astype(bands.dtype.newbyteorder("<")).tobytes()
+    kind = {"u": 1, "i": 2, "f": 3}[bands.dtype.kind]
+    size = len(data) // n
+    tags = [("width", 4, [w]), ("height", 4, [h]), ("bits", 3, [bands.dtype.itemsize * 8] * n), ("compression", 3, [1]), ("photometric", 3, [1]), ("offsets", 4, [8 + i * size for i in range(n)]), ("samples", 3, [n]), ("rows", 4, [h]), ("counts", 4, [size] * n), ("planar", 3, [2]), ("format", 3, [kind] * n), ("scale", 12, [spec.sx, spec.sy, 0.0]), ("tie", 12, [0.0, 0.0, 0.0, spec.ox, spec.oy + h * spec.sy, 0.0])]
+    if nodata is not None:
+        tags.append(("nodata", 2, list(f"{nodata:g}\0".encode())))
+    at = 8 + len(data) + len(data) % 2
+    more, entries, after = b"", [], at + 2 + 12 * len(tags) + 4
+    for name, type_, values in tags:
+        raw = np.array(values, "<u1" if type_ == 2 else f"<{TIFF_TYPES[type_]}").tobytes()
+        if len(raw) > 4:
+            entries.append(struct.pack("<HHII", TIFF[name], type_, len(values), after + len(more)))
+            more += raw + b"\0" * (len(raw) % 2)
+        else:
+            entries.append(struct.pack("<HHI", TIFF[name], type_, len(values)) + raw.ljust(4, b"\0"))
+    return b"II*\0" + struct.pack("<I", at) + data + b"\0" * (len(data) % 2) + struct.pack("<H", len(tags)) + b"".join(entries) + b"\0\0\0\0" + more
+
+
+def parse_tiff(data: bytes) -> tuple[np.ndarray, GridSpec, float | None]:
+    """Bands, grid and nodata of an uncompressed GeoTIFF in strips, of either byte order; rotated or tiled ones are refused."""
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
+    if not order:
+        raise ValueError("not a TIFF file")
+    (at,) = struct.unpack_from(f"{order}I", data, 4)
+    tags = {}
+    for i in range(struct.unpack_from(f"{order}H", data, at)[0]):
+        tag, type_, n = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * i)
+        if type_ in TIFF_TYPES:
+            kind = np.dtype(TIFF_TYPES[type_]).newbyteorder(order)
+            from_ = at + 10 + 12 * i
+            if n * kind.itemsize > 4:
+                (from_,) = struct.unpack_from(f"{order}I", data, from_)
+            tags[tag] = np.frombuffer(data, kind, n, from_)
+    get = lambda name, other: tags.get(TIFF[name], np.array([other]))
+    if get("compression", 1)[0] != 1 or TIFF["offsets"] not in tags or 34264 in tags:
+        raise ValueError("compressed, tiled or rotated TIFF")
+    w, h, n = int(get("width", 0)[0]), int(get("height", 0)[0]), int(get("samples", 1)[0])
+    kind = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[int(get('format', 1)[0])] }{int(get('bits', 8)[0]) // 8}")
+    raw = b"".join(data[int(o) : int(o) + int(c)] for o, c in zip(tags[TIFF["offsets"]], tags[TIFF["counts"]], strict=True))
+    if len(raw) != w * h * n * kind.itemsize:
+        raise ValueError("the bands have another size than the grid")
+    v = np.frombuffer(raw, kind)
+    v = v.reshape(n, h, w) if get("planar", 1)[0] == 2 else v.reshape(h, w, n).transpose(2, 0, 1)
+    scale, tie = get("scale", 1.0), tags.get(TIFF["tie"], np.zeros(6))
+    sx, sy = (float(scale[0]), float(scale[1])) if len(scale) > 1 else (1.0, 1.0)
+    spec = GridSpec(w, h, sx, sy, float(tie[3] - tie[0] * sx), float(tie[4] + tie[1] * sy - h * sy))
+    none = bytes(tags[TIFF["nodata"]]).rstrip(b"\0").decode() if TIFF["nodata"] in tags else ""
+    return v[:, ::-1].astype(kind.newbyteorder("=")), spec, float(none) if none.strip() else None
+
+
+def read_tiff(spark: SparkSession, path: str) -> DataFrame:
+    """(file, band, xi, yi, x, y, value) of GeoTIFF files, a row per cell with a value; x and y are the cell's centre."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for file, data in zip(d["path"], d["content"], strict=True):
+                bands, spec, nodata = parse_tiff(bytes(data))
+                for b, v in enumerate(bands):
+                    for y, row in enumerate(v.astype(float)):
+                        x = np.flatnonzero(~np.isnan(row) & (row != (np.nan if nodata is None else nodata)))
+                        yield pd.DataFrame({"file": file, "band": b, "xi": x, "yi": y, "x": spec.ox + (x + 0.5) * spec.sx, "y": spec.oy + (y + 0.5) * spec.sy, "value": row[x]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, band int, xi long, yi long, x double, y double, value double")

@@ -5,11 +5,10 @@ its key: it replaces one of its own operation, an ADD and a REMOVE cancel each o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 KEY = ["type", "id_a", "id_b"]
 ADD, UPDATE, REMOVE = "ADD", "UPDATE", "REMOVE"
@@ -31,25 +30,20 @@ def enqueue(queue: list[tuple[int, str]], seq: int, op: str) -> list[tuple[int,
 
 
 def compact(log: DataFrame) -> DataFrame:
-    """The queue that is left of a whole log. Rows of a key stream by in order after one shuffle and sort; only the key's
-    queue is kept."""
-    sorted_ = log.select(*KEY, "seq", "op").repartition(*KEY).sortWithinPartitions(*KEY, "seq")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, queue, done = None, [], []
-        for d in batches:
-            for *key, seq, op in d.itertuples(index=False, name=None):
-                if key != at:
-                    done += [(*at, s, o) for s, o in queue] if at else []
-                    at, queue = key, []
-                queue = enqueue(queue, seq, op)
-            if len(done) > 10_000:
-                yield pd.DataFrame(done, columns=[*KEY, "seq", "op"])
-                done = []
-        done += [(*at, s, o) for s, o in queue] if at else []
-        yield pd.DataFrame(done, columns=[*KEY, "seq", "op"])
-
-    return sorted_.mapInPandas(run, "type string, id_a string, id_b string, seq long, op string")
+    """The queue that is left of a whole log, without walking it.
+
+    ADD and REMOVE of a key move between three states (one of them queued, or neither), one step each, and stay at the ends. So
+    the last of two equal ones in a row (or the first of all) settles the state, and from there on they alternate: if the
+    very last is the same operation it is queued, otherwise nothing is. An UPDATE is queued if it comes behind the last
+    REMOVE; of several the last."""
+    order = Window.partitionBy(*KEY).orderBy("seq")
+    moves = log.filter(F.col("op") != UPDATE).select(*KEY, "seq", "op", F.lag("op").over(order).alias("before"))
+    settles = F.col("before").isNull() | (F.col("before") == F.col("op"))
+    ends = moves.groupBy(*KEY).agg(F.max(F.struct("seq", "op")).alias("last"), F.max(F.when(settles, F.struct("seq", "op"))).alias("settled"))
+    queued = ends.filter(F.col("last.op") == F.col("settled.op")).select(*KEY, "last.seq", "last.op")
+    of = lambda op: F.max(F.when(F.col("op") == op, F.col("seq")))
+    late = log.groupBy(*KEY).agg(of(UPDATE).alias("seq"), of(REMOVE).alias("gone")).filter("seq is not null and (gone is null or seq > gone)")
+    return queued.unionByName(late.select(*KEY, "seq", F.lit(UPDATE).alias("op")))
 
 
 def net_state(log: DataFrame) -> DataFrame:

@@ -326,3 +326,63 @@ def test_poses(spark):
     h = poses.histogram(d, F.col("x"), -1.0, 1.0, 4)
     assert h.agg(F.sum("n")).first()[0] == 201 and poses.linear_score(h, [1.0] * 6, 0.5).first().score == pytest.approx(1.5)
     assert poses.kmeans(d, ["x", "y"], 2).select("cluster").distinct().count() == 2
+
+
+def test_terrain_is_slope_and_steps(spark):
+    rows = [(x, y, float((x * 7 + y * 3) % 5)) for x in range(6) for y in range(6) if (x, y) != (2, 3)]
+    cells, spec = spark.createDataFrame(rows, "xi long, yi long, top double"), GridSpec(6, 6, 0.5, 1.0)
+    one = {(r.xi, r.yi): (r.slope, r.max_step) for r in raster.terrain(cells, spec).collect()}
+    slope = {(r.xi, r.yi): r.slope for r in raster.slope(cells, spec).collect()}
+    step = {(r.xi, r.yi): r.max_step for r in raster.steps(cells, spec).collect()}
+    assert one.keys() == slope.keys() == step.keys() and all(one[k] == pytest.approx((slope[k], step[k])) for k in one)
+
+
+def test_gated_sums_equal_an_update_by_rising_height(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(r.uniform(0, 2), r.uniform(0, 2), r.choice([0, 5, 11]) + r.uniform(0, 3), r.choice([0.5, 1.0])) for _ in range(120)]
+    grid = GridSpec(2, 2, 1.0, 1.0)
+    got = {}
+    for x in surfaces.gated_sums(spark.createDataFrame(rows, "x double, y double, z double, sd double"), grid, 0.8).orderBy("xi", "yi", "ord").collect():
+        got.setdefault((x.xi, x.yi), []).append((x.low, x.high, x.n, pytest.approx(x.mean), pytest.approx(x.w)))
+    for cell, have in got.items():
+        patches = []
+        for _, _, z, sd in sorted((p for p in rows if (int(p[0]), int(p[1])) == cell), key=lambda p: p[2]):
+            # The patch widened by the gap reaches over the measurement, an interval of no length.
+            at = next((p for p in patches if p[0] - 0.8 < z < p[1] + 0.8), None)
+            if at is None:
+                patches.append(at := [z, z, 0, 0.0, 0.0])
+            at[0], at[1], at[2], at[3], at[4] = min(at[0], z), max(at[1], z), at[2] + 1, at[3] + z / sd**2, at[4] + 1 / sd**2
+        assert [(p[0], p[1], p[2], p[3] / p[4], p[4]) for p in patches] == have
+
+
+def test_planes_of_few_measurements_lie_flat(spark):
+    rows = [(0.1, 0.1, 1.0, 1.0), (0.9, 0.2, 2.0, 1.0), (0.5, 0.8, 3.0, 1.0)] + [(1 + a, b, 5 + a + 2 * b, 1.0) for a in (0.1, 0.6, 0.9) for b in (0.2, 0.7)]
+    p = {x.xi: x for x in surfaces.gated_planes(spark.createDataFrame(rows, "x double, y double, z double, sd double"), GridSpec(2, 1, 1.0, 1.0), 3.0).withColumn("slope", surfaces.plane_slope()).withColumn("h", surfaces.plane_height(F.lit(0.5), F.lit(0.5))).collect()}
+    assert (p[0].a, p[0].b, p[0].c) == (0, 0, pytest.approx(2)) and p[0].slope == 0
+    assert (p[1].a, p[1].b, p[1].c, p[1].h) == pytest.approx((1, 2, 5, 6.5))
+
+
+def test_moved_maps_merge(spark):
+    grid = GridSpec(4, 4, 1.0, 1.0)
+    a = spark.createDataFrame([(1, 2, 0, 5.0, 0.1, 0.0, 1.0, 5.0, 5.0, 0, 1)], surfaces.PATCH)
+    got = surfaces.moved(a, grid, GridSpec(4, 4, 1.0, 1.0, -4.0, 0.0), affine((0, 0, 1), rotation(yaw=np.pi / 2)), 0.04).collect()
+    # (1.5, 2.5) turns to (-2.5, 1.5).
+    assert [(r.xi, r.yi, r.mean, r.low, round(r.stdev, 6)) for r in got] == [(1, 1, 6.0, 6.0, round(0.05**0.5, 6))]
+    assert surfaces.moved(a, grid, grid, affine((10, 0, 0))).count() == 0
+    assert surfaces.merge([a, surfaces.moved(a, grid, grid, affine())]).first().n == 2
+
+
+def test_interval_overlap(spark):
+    d = spark.createDataFrame([(0.0, 2.0, 1.0, 3.0), (1.0, 3.0, 0.0, 2.0), (0.0, 3.0, 1.0, 2.0), (1.0, 2.0, 0.0, 3.0), (1.0, 2.0, 1.0, 2.0), (0.0, 1.0, 2.0, 3.0)], "a double, b double, c double, d double")
+    assert [r[0] for r in d.select(surfaces.overlap(*(F.col(n) for n in "abcd"))).collect()] == [True, True, True, False, False, False]
+
+
+def test_flood_starts_in_the_nearest_ring(spark):
+    rows = [(x, y, 0, 0.0, 0.1, 1.0) for x in range(5, 9) for y in range(5, 9)] + [(3, 3, 0, 50.0, 0.1, 1.0)]
+    p = spark.createDataFrame(rows, "xi long, yi long, ord int, mean double, stdev double, n double")
+    got = traversability.flood(p, (2, 6, 0.0), 2.0, 0.5)
+    assert got.count() == 16 and got.filter("level = 0").select("xi").first().xi == 5
+    with pytest.raises(ValueError):
+        traversability.flood(p, (60, 60, 0.0), 2.0, 0.5)

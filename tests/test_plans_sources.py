@@ -163,3 +163,83 @@ def test_queries_equal_their_sql(spark):
         a = sorted(tuple(x[k] for k in names) for x in r.collect())
         b = sorted(tuple(x[e.columns.index(k)] for k in names) for x in e.fetchall())
         assert len(a) == len(b) and all(x == pytest.approx(y, rel=1e-9, abs=1e-9) if isinstance(x, float) else x == y for p, o in zip(a, b, strict=True) for x, y in zip(p, o, strict=True)), name
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_compaction_equals_the_queue(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    rows = [(i, "item", str(r.randint(0, 40)), "", r.choice(["ADD", "UPDATE", "REMOVE"])) for i in range(500)]
+    want = []
+    for k in {x[2] for x in rows}:
+        queue = []
+        for seq, _, key, _, op in rows:
+            if key == k:
+                queue = changes.enqueue(queue, seq, op)
+        want += [(k, s, o) for s, o in queue]
+    got = changes.compact(spark.createDataFrame(rows, "seq long, type string, id_a string, id_b string, op string"))
+    assert sorted((x.id_a, x.seq, x.op) for x in got.collect()) == sorted(want)
+
+
+def test_replica_follows_moves_and_deep_detach():
+    c, a, b = frames()
+    state = set(c.state())
+
+    def follow(kind, op, x, y):
+        (state.add if op == "ADD" else state.discard)((kind, x, y)) if op != "UPDATE" else None
+
+    c.listeners.append(follow)
+    m, layers = c.attach(Item("map", "m")), [c.attach(Item("layer"), f"l{i}") for i in range(4)]
+    op = c.attach(Item("operator", arity=(1, 2)), "op")
+    c.set_parent(b, ROOT)
+    c.set_parent(b, a)
+    c.bind(m, a)
+    c.bind(m, b)
+    c.add_layer(layers[0], layers[1])
+    c.connect(op, layers[:2], [layers[2]])
+    c.connect(op, [layers[1]], [layers[3]])
+    assert state == set(c.state())
+    c.detach(layers[1])
+    assert state == set(c.state()) and c.inputs[op] == []
+    c.detach(a, deep=True)
+    assert state == set(c.state()) and m not in c.items and b not in c.items
+    c.unbind(m)
+
+
+def test_admission_looks_at_what_was_admitted(spark):
+    d = spark.createDataFrame([("s", i, 0.3 * i, 0.0, 0.5 if i > 8 else 0.0) for i in range(10)], "sensor string, seq long, x double, y double, yaw double")
+    assert [r.seq for r in files.admitted(d.drop("yaw"), 1.0, 3).orderBy("seq").collect()] == [0, 4, 8]
+    assert [r.seq for r in files.admitted(d, 1.0, 3, turn=0.4).orderBy("seq").collect()] == [0, 4, 8, 9]
+
+
+def test_surface_map_files(spark, tmp_path):
+    import struct
+
+    import pandas as pd
+
+    p = pd.DataFrame({"xi": [0, 0, 2], "yi": [0, 0, 1], "ord": [0, 1, 0], "mean": [2.0, 1.0, 3.0], "stdev": [0.5, 0.1, 1.0], "height": [1.0, 0.0, 0.0], "n": [3.0, 1.0, 1.0], "low": [1.0, 1.0, 3.0], "high": [2.0, 1.0, 3.0], "idx": [4, 5, 6], "type": [0, 1, 2]})
+    (tmp_path / "a.mls").write_bytes(files.format_mls(p))
+    # Records of the older versions, as a C compiler lays them out.
+    old = {"1.0": struct.pack("<dddB7xQQQ", 2, 0.5, 1, 0, 4, 7, 8), "1.1": struct.pack("<dddB7xQdddQQ", 2, 0.5, 1, 1, 4, 0.1, 0.2, 0.3, 7, 8), "1.2": struct.pack("<fffB3xQ3B5xQQ", 2, 0.5, 1, 1, 4, 1, 2, 3, 7, 8)}
+    for version, record in old.items():
+        q = files.parse_mls(b"mls\n%s\n%d\nbin\n" % (version.encode(), len(record)) + record * 2)
+        assert q[["xi", "yi", "ord", "mean", "stdev", "height", "idx", "type"]].values.tolist() == [[7, 8, k, 2.0, 0.5, 1.0, 4, int(version > "1.0")] for k in (0, 1)]
+    with pytest.raises(ValueError):
+        files.parse_mls(b"mls\n1.0\n57\nbin\n")
+    back = files.read_mls(spark, f"{tmp_path}/a.mls").drop("file").orderBy("xi", "ord").toPandas()
+    assert back[list(p.columns)].astype(float).round(6).values.tolist() == p.astype(float).values.tolist()
+
+
+@pytest.mark.parametrize("kind", ["u1", "f4", "f8"])
+def test_tiff_round_trip(spark, tmp_path, kind):
+    v = np.arange(2 * 3 * 5).reshape(2, 3, 5).astype(kind)
+    grid = GridSpec(5, 3, 0.5, 2.0, 10.0, -4.0)
+    data = files.format_tiff(v, grid, nodata=7)
+    bands, spec, nodata = files.parse_tiff(data)
+    assert (bands == v).all() and bands.dtype == v.dtype and spec == grid and nodata == 7
+    (tmp_path / "a.tif").write_bytes(data)
+    rows = files.read_tiff(spark, f"{tmp_path}/a.tif").collect()
+    assert len(rows) == 29 and {(r.band, r.xi, r.yi, r.x, r.y): r.value for r in rows}[(1, 2, 1, 11.25, -1.0)] == v[1, 1, 2]
+    with pytest.raises(ValueError):
+        files.parse_tiff(b"PNG" + data[3:])
