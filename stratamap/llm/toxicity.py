@@ -1,7 +1,8 @@
 """Toxicity by weak supervision: many voters, a generative label model over them, and a linear classifier.
 
 1. A lexicon is found in a bounded sample of labelled rows: words, and beginnings of words, that occur in toxic texts and
-   hardly in others. A fixed list of abusive words, written without a look at any label, is added. The entries are dealt to
+   hardly in others. A fixed list of abusive words, written without a look at any label, is added, less those that the
+   sample's other texts hold as often. The entries are dealt to
    ``GROUPS`` voters; further voters look at how many different entries, how dense, at insults addressed to someone, at
    disguised spellings, and two vote for the other class (nothing found, or nothing found in a long text). A voter
    abstains where it sees nothing.
@@ -41,6 +42,8 @@ TOXIC_ROWS, CLEAN_ROWS, ENTRIES, TRAIN_ROWS, TERMS = 4000, 8000, 1500, 40_000, 2
 GROUPS, SHORTEST, LONGEST = 8, 4, 7
 #: An entry's share of the toxic sample, and of what it occurs in that is toxic.
 SHARE, PURITY = 0.01, 0.97
+#: Purity under which a word of the fixed list does not count.
+DOUBT = 0.9
 # Common abusive words of four languages, as any dictionary marks them.
 INSULTS = """
 arse arsehole ass asshole assholes bastard bastards bimbo bitch bitches blockhead bollocks bozo buffoon bullshit clown clowns
@@ -65,34 +68,38 @@ NEGATIVE = np.array([v.startswith("clean") for v in VOTERS])
 FEATURES = 8 + len(VOTERS)
 
 
+Entries = tuple[tuple[str, bool | None], ...]
+
+
 @lru_cache(maxsize=4)
-def _index(entries: tuple[tuple[str, bool], ...]) -> tuple[dict[str, int], dict[str, int], frozenset[str]]:
+def _index(entries: Entries) -> tuple[dict[str, int], dict[str, int], frozenset[str], frozenset[str]]:
     words = {e: i for i, (e, whole) in enumerate(entries) if whole}
-    heads = {e: i for i, (e, whole) in enumerate(entries) if not whole}
-    return words, heads, frozenset(e[:3] for e, _ in entries)
+    heads = {e: i for i, (e, whole) in enumerate(entries) if whole is False}
+    return words, heads, frozenset(e[:3] for e, whole in entries if whole is not None), INSULT_SET - {e for e, whole in entries if whole is None}
 
 
-def findings(text: str | None, entries: tuple[tuple[str, bool], ...]) -> tuple[int, list[float]]:
-    """A text's votes (bit i: voter i speaks) and features. entries: (text, whether it is a whole word)."""
+def findings(text: str | None, entries: Entries) -> tuple[int, list[float]]:
+    """A text's votes (bit i: voter i speaks) and features. entries: (text, whether it is a
+    whole word; None: a word of the fixed list that does not count)."""
     low = (text or "").lower()
     return _findings(low, WORD.findall(low), entries)
 
 
-def _findings(low: str, words: list[str], entries: tuple[tuple[str, bool], ...]) -> tuple[int, list[float]]:
-    words_of, heads_of, starts = _index(entries)
+def _findings(low: str, words: list[str], entries: Entries) -> tuple[int, list[float]]:
+    words_of, heads_of, starts, insulting = _index(entries)
     hits: Counter = Counter()
     insults = 0
     for w in [w for w in words if w[:3] in starts]:
         found = {words_of[w]} if w in words_of else set()
         found |= {heads_of[w[:n]] for n in range(SHORTEST, LONGEST + 1) if w[:n] in heads_of}
         hits.update(found)
-    insults = sum(w in INSULT_SET for w in set(words))
+    insults = sum(w in insulting for w in set(words))
     total, rate = sum(hits.values()), 0.0
     distinct, n = len(hits), max(1, len(words))
     rate = total / n
     groups = {e % GROUPS for e in hits}
-    addressed = sum(m[1] in INSULT_SET or m[1] in words_of for m in ADDRESSED.finditer(low)) if hits or insults else 0
-    disguised = sum(m[0].translate(DISGUISE) in INSULT_SET for m in DISGUISED.finditer(low)) if DISGUISES.search(low) else 0
+    addressed = sum(m[1] in insulting or m[1] in words_of for m in ADDRESSED.finditer(low)) if hits or insults else 0
+    disguised = sum(m[0].translate(DISGUISE) in insulting for m in DISGUISED.finditer(low)) if DISGUISES.search(low) else 0
     votes = sum(1 << g for g in groups)
     for k, on in enumerate((insults > 0, distinct >= 2, distinct >= 4, rate >= 0.004 and total >= 2, addressed > 0, disguised > 0, not (hits or insults or disguised), not (hits or insults or disguised) and n >= 50)):
         votes |= int(on) << GROUPS + k
@@ -128,8 +135,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("text", "toxic")
 
 
-def lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
-    """Words and beginnings of words of the toxic sample: (text, whether it is a whole word)."""
+def lexicon(sample: DataFrame) -> list[tuple[str, bool | None]]:
+    """Words and beginnings of words of the toxic sample: (text, whether it is a whole word), and the words of the fixed list
+    that the sample speaks against (text, None): they stand in two of its other texts or more, and hardly more often in toxic
+    ones, as words do that mean something else in the corpus."""
 
     def count(texts, toxic):
         seen: tuple[Counter, Counter] = Counter(), Counter()
@@ -149,9 +158,13 @@ def lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     found = arrow_map(sample, [], ["text", "toxic"], count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = F.col("toxic") / sizes[1]
     pure = share / (share + F.col("clean") / sizes[0])
+    found, _ = stored(found.withColumn("pure", pure), "counts")
+    against = found.filter(F.col("entry").isin([f"={w}" for w in INSULTS]) & (F.col("clean") >= 2) & (F.col("pure") < DOUBT)).orderBy("entry").collect()
+    pure = F.col("pure")
     found = found.filter((F.col("toxic") >= max(5, SHARE * sizes[1])) & (pure >= PURITY))
     found = found.orderBy(F.desc("toxic"), "clean", "entry").limit(ENTRIES)
-    return specific([(r.entry, r.toxic) for r in found.collect()])
+    out = specific([(r.entry, r.toxic) for r in found.collect()])
+    return [*out, *((r.entry[1:], None) for r in against)]
 
 
 def specific(counts: list[tuple[str, int]]) -> list[tuple[str, bool]]:
@@ -243,7 +256,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 @dataclass
 class Model:
-    entries: tuple[tuple[str, bool], ...]
+    entries: Entries
     label_model: LabelModel
     terms: tuple[str, ...]
     #: Of the features, the terms and the constant.
@@ -258,7 +271,7 @@ class Model:
 SEEN = ("_stratamap_votes", "_stratamap_features", "_stratamap_terms")
 
 
-def _observe(df: DataFrame, keep: list[str], entries: tuple[tuple[str, bool], ...], terms: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+def _observe(df: DataFrame, keep: list[str], entries: Entries, terms: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """Adds votes, features and the terms that occur (numbers of terms) to the kept columns."""
     number = {t: i for i, t in enumerate(terms)}
 
@@ -336,7 +349,9 @@ def train(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     fitted on."""
     spark = docs.sparkSession
     sample, _ = stored(labelled_sample(docs, labels), "labelled")
-    entries = tuple(dict.fromkeys([*lexicon(sample), *((w, True) for w in INSULTS)]))
+    learned = lexicon(sample)
+    doubted = {w for w, whole in learned if whole is None}
+    entries = tuple(dict.fromkeys([*learned, *((w, True) for w in INSULTS if w not in doubted)]))
     all_labels = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
     prior = 0.1 if all_labels is None else float(all_labels)
 
