@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .geometry import GridSpec, affine, line_cells, rotation
+from .geometry import GridSpec, Uncertain, affine, line_cells, rotation
 from .lineage import cut
 from .operators import matching, points, polygons, poses, raster, surfaces, traversability
 from .streaming import changes
@@ -563,3 +563,135 @@ def q_poly_distance(spark, d):
         return df.select("id", F.array(at(0.0, 0.0), at(size, 0.0), at(size, size), at(0.0, size)).alias("pts"))
 
     return rounded(polygons.near_pairs(shape(_suppliers(spark, d), 3.0), shape(_customers(spark, d), 1.0), 2.0), 6, "distance")
+
+
+START, STEP, NEAR, FAR, GRAZE = -2.0, 0.064, 0.6, 8.0, 1.4
+BEAMS = """b AS (SELECT vec_id AS line, vec_id * 0.01 AS phi, generate_subscripts(embedding, 1) - 1 AS beam, len(embedding) AS beams, trunc(abs(CAST(unnest(embedding) AS DOUBLE)) * 20000 + 500) / 1000.0 AS r FROM embeddings)"""
+MESH = f"""{BEAMS}, n AS (SELECT *, lead(r) OVER (PARTITION BY line ORDER BY beam) AS n FROM b),
+c AS (SELECT *, sqrt(r * r + n * n - 2 * r * n * {float(np.cos(2 * STEP))!r}) AS c FROM n), m AS (SELECT *, CASE WHEN n IS NULL THEN pi() / 2 ELSE acos(least(1.0, greatest(-1.0, (r * r - n * n + c * c) / (2 * r * c)))) END AS met FROM c),
+k AS (SELECT *, coalesce(lag(met) OVER (PARTITION BY line ORDER BY beam), pi() / 2) AS last, {START} + beam * {STEP} AS psi FROM m),
+p AS (SELECT line, beam, beams, psi, r, cos(phi) * cos(psi) * r + 0.1 AS x, sin(psi) * r + 0.2 * cos(phi) - 0.3 * sin(phi) AS y, sin(phi) * cos(psi) * r + 0.2 * sin(phi) + 0.3 * cos(phi) AS z FROM k WHERE r > {NEAR} AND r < {FAR} AND abs(met - pi() / 2) < {GRAZE} AND abs(last - pi() / 2) < {GRAZE})"""
+
+
+def _mesh(spark, d) -> DataFrame:
+    mm = F.transform("embedding", lambda v: (F.abs(v.cast("double")) * 20000 + 500).cast("int"))
+    scan = _t(spark, d, "embeddings").select(F.col("vec_id").alias("line"), (F.col("vec_id") * 0.01).alias("phi"), mm.alias("ranges"), mm.alias("remissions"))
+    return points.mesh_points(scan, START, STEP, NEAR, FAR, GRAZE, centre=(0.1, 0.2, 0.3))
+
+
+@query(f"WITH {MESH} SELECT line, CAST(beam AS INTEGER) AS beam, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(least(0.01 * r, 0.02) ** 2, 12) AS variance, round(least(1.0, r * 1000 / 10000), 6) AS grey, beam = 0 OR beam = beams - 1 OR line = (SELECT min(line) FROM b) OR line = (SELECT max(line) FROM b) AS is_edge FROM p")
+def q_mesh_points(spark, d):
+    p = _mesh(spark, d).select("line", "beam", "x", "y", "z", "variance", "grey", "is_edge")
+    return rounded(rounded(p, 6, "x", "y", "z", "grey"), 12, "variance")
+
+
+_corners = ((-1, -1), (-1, 0), (0, 0), (0, -1))
+_tri = lambda n: ("123", "023", "013", "012")[n]
+_side = lambda i, j: f"coalesce(sqrt((p{i}.x - p{j}.x) ** 2 + (p{i}.y - p{j}.y) ** 2 + (p{i}.z - p{j}.z) ** 2) < 2.5, false)"
+_good = ", ".join(f"{_side(a, b)} AND {_side(b, c)} AND {_side(a, c)} AS g{n}" for n in range(4) for a, b, c in [_tri(n)])
+_line = lambda k: f"line{_corners[int(k)][0]:+d}"
+_beam = lambda k: f"beam{_corners[int(k)][1]:+d}"
+_pick = " UNION ALL ".join(
+    f"SELECT {_line(a)} AS a_line, {_beam(a)} AS a_beam, CASE WHEN back THEN {_line(c)} ELSE {_line(b)} END AS b_line, CASE WHEN back THEN {_beam(c)} ELSE {_beam(b)} END AS b_beam, CASE WHEN back THEN {_line(b)} ELSE {_line(c)} END AS c_line, CASE WHEN back THEN {_beam(b)} ELSE {_beam(c)} END AS c_beam FROM g WHERE g{n} AND {('true', 'NOT g0', '(g0 OR NOT g1)', 'NOT g0 AND (g1 OR NOT g2)')[n]}"
+    for n in range(4) for a, b, c in [_tri(n)]
+)
+
+
+@query(f"WITH {MESH}, q AS (SELECT b.line, CAST(b.beam AS INTEGER) AS beam, abs({START} + b.beam * {STEP}) > pi() / 2 AS back, {_good} FROM b " + " ".join(f"LEFT JOIN p p{k} ON p{k}.line = b.line{dl:+d} AND p{k}.beam = b.beam{db:+d}" for k, (dl, db) in enumerate(_corners)) + f"), g AS (SELECT * FROM q) {_pick}")
+def q_mesh_faces(spark, d):
+    f = points.mesh_faces(_mesh(spark, d), 2.5)
+    return f.select(*[F.col(f"{n}.{k}").alias(f"{n}_{k}") for n in "abc" for k in ("line", "beam")])
+
+
+@query()
+def q_markers(spark, d):
+    """Bright marks of ten scans, each of a tenth of the lines."""
+    p = _mesh(spark, d).withColumn("scan", F.floor(F.col("line") / 50))
+    return rounded(points.markers(p, 6500.0, 0.5), 6, "x", "y", "z")
+
+
+_slots_sd = _slots.replace("abs(own - other)", "abs(own - other) + (osd + tsd)")
+
+
+@query(f"""WITH {C}, f AS (SELECT *, (top - low) / 10 AS sd FROM cells WHERE n >= 200), o(dx, dy) AS (VALUES (0, 1), (0, -1), (-1, -1), (1, 1), (-1, 0), (1, 0), (-1, 1), (1, -1)),
+nb AS (SELECT a.xi, a.yi, a.top AS own, a.sd AS osd, o.dx, o.dy, b.top AS other, b.sd AS tsd FROM f a CROSS JOIN o JOIN f b ON b.xi = a.xi + o.dx AND b.yi = a.yi + o.dy), {_steps(30.0).replace(_slots, _slots_sd)} SELECT xi, yi, round(max_step, 9) AS max_step, round(corrected_step, 9) AS corrected_step FROM steps""")
+def q_max_step_spread(spark, d):
+    """Steps between cells of 200 measurements or more that reach a deviation beyond either end."""
+    t = tops(spark, d).withColumn("sd", (F.col("top") - F.col("low")) / 10)
+    return rounded(raster.steps(t, GRID, threshold=30.0, sd="sd", least=200), 9, "max_step", "corrected_step")
+
+
+@query(f"WITH {C}, cells2 AS (SELECT * FROM cells WHERE n >= 200), {N[len(C) + 2:].replace('cells', 'cells2')}, {SLOPE} SELECT xi, yi, round(slope, 6) AS slope FROM slopes")
+def q_slope_measured(spark, d):
+    return rounded(raster.slope(tops(spark, d), GRID, least=200), 6, "slope")
+
+
+UNSURE = Uncertain(affine((10.0, 4.0, 1.0)), np.diag([1e-4, 2e-4, 3e-4, 0.01, 0.02, 0.04]) + np.diag([1e-5] * 3, 3) + np.diag([1e-5] * 3, -3))
+_lever = {0: "((yi + 0.5) - 4.0)", 1: "(10.0 - (xi + 0.5) * 2)", 5: "1.0"}
+_smear = " + ".join(f"{_lever[a]} * {_lever[b]} * {float(UNSURE.cov[a, b])!r}" for a in _lever for b in _lever)
+
+
+@query(f"WITH {P}, k AS ({KAL.format(by='', where='')}) SELECT xi, yi, round(mean, 6) AS mean, round(sqrt(stdev * stdev + {_smear}), 6) AS stdev FROM k")
+def q_pose_smear(spark, d):
+    """Patches with the uncertainty of the pose that they were seen from."""
+    k = surfaces.kalman(pts(spark, d), GRID)
+    return rounded(k.select("xi", "yi", "mean", F.sqrt(F.col("stdev") * F.col("stdev") + surfaces.pose_variance(GRID, UNSURE)).alias("stdev")), 6, "mean", "stdev")
+
+
+SENSOR = (25.0, 5.5, 120.0)
+CLOUD_A = KAL.format(by="", where="WHERE cloud = 'A'")
+
+
+@query(f"""WITH {P}, s AS ({CLOUD_A}), n AS (SELECT *, greatest(abs(12 - xi), abs(5 - yi)) AS n, {SENSOR[2]} - mean AS up, sqrt(((12 - xi) * 2.0) ** 2 + ((5 - yi) * 1.0) ** 2) AS far FROM (SELECT xi, yi, mean, stdev FROM s)),
+r AS (SELECT *, unnest(generate_series(1, n)) AS k FROM n WHERE n > 0), f AS (SELECT *, 1 - k / CAST(n AS DOUBLE) AS f, 2.0 / far * up AS seen FROM r)
+SELECT xi AS fx, yi AS fy, k, xi + CAST(sign(12 - xi) AS BIGINT) * CAST(ceil((2 * k * abs(12 - xi) - n) / (2.0 * n)) AS BIGINT) AS xi, yi + CAST(sign(5 - yi) AS BIGINT) * CAST(ceil((2 * k * abs(5 - yi) - n) / (2.0 * n)) AS BIGINT) AS yi, round(mean + seen * f + up * (1 - f), 6) AS mean, round(stdev * f, 6) AS stdev, round(abs(seen * f), 6) AS height FROM f""")
+def q_free_space(spark, d):
+    k = kalman_by_cloud(spark, d).filter("ord = 0")
+    return rounded(surfaces.free_space(k, GRID, SENSOR).drop("ord"), 6, "mean", "stdev", "height")
+
+
+@query()
+def q_projection_free_space(spark, d):
+    """Points of one cloud projected, with what is free between them and the sensor."""
+    p = pts(spark, d).filter(F.col("cloud") == "A")
+    return rounded(surfaces.project_with_free_space(p, GRID, ["vid"], SENSOR, UNSURE), 6, "mean", "stdev", "height")
+
+
+@query(f"""WITH {C}, k AS ({KAL.format(by='cloud,', where='')}),
+p AS (SELECT xi, yi, CAST(CASE cloud WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS INTEGER) AS ord, mean, stdev, CASE cloud WHEN 'N' THEN 6.0 ELSE 0.0 END AS height, CASE cloud WHEN 'N' THEN 0 WHEN 'R' THEN 2 ELSE 1 END AS type FROM k),
+q AS (SELECT xi * 100 + yi AS id, xi, yi, (top + low) / 2 AS z FROM cells), d AS (SELECT id, p.*, CASE WHEN type = 1 THEN abs(mean - z) WHEN z > mean THEN z - mean ELSE greatest(0.0, mean - height - z) END AS far FROM q JOIN p USING (xi, yi) WHERE type <> 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS k FROM d WHERE far < 3.0 * sqrt(stdev * stdev + 1.0)) SELECT id, ord, round(mean, 6) AS mean, round(stdev, 6) AS stdev FROM r WHERE k = 1""")
+def q_interval_match(spark, d):
+    """The first patch in each cell that is near half its height; blocks from their ends, free space never."""
+    c = F.col("ord")
+    k = kalman_by_cloud(spark, d).withColumns({"height": F.when(c == 1, 6.0).otherwise(0.0), "type": F.when(c == 1, surfaces.VERTICAL).when(c == 2, surfaces.NEGATIVE).otherwise(surfaces.HORIZONTAL)})
+    probes = tops(spark, d).select((F.col("xi") * 100 + F.col("yi")).alias("id"), "xi", "yi", ((F.col("top") + F.col("low")) / 2).alias("mean"), F.lit(1.0).alias("stdev"), F.lit(0.0).alias("height"), F.lit(surfaces.HORIZONTAL).alias("type"))
+    return rounded(surfaces.first_match(k, probes, 3.0, skip_free=True), 6, "mean", "stdev")
+
+
+@query(f"""WITH RECURSIVE {P}, k AS ({KAL.format(by='cloud,', where='')}), w AS (SELECT c_nationkey AS path, c_custkey AS seq, c_custkey % 26 AS xi, c_custkey % 11 AS yi, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer),
+h AS (SELECT path, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS xi, CAST(0 AS BIGINT) AS yi, CAST(50.0 AS DOUBLE) AS height FROM (SELECT DISTINCT path FROM w)
+UNION ALL SELECT w.path, w.seq, w.i, w.xi, w.yi, coalesce((SELECT arg_min(mean, abs(mean - h.height)) FROM k WHERE k.xi = w.xi AND k.yi = w.yi), h.height) FROM h JOIN w ON w.path = h.path AND w.i = h.i + 1) SELECT path, seq, xi, yi, round(height, 6) AS height FROM h WHERE i > 0""")
+def q_surface_paths(spark, d):
+    """Heights along each nation's path through its customers: the patch nearest to the height before."""
+    c = F.col("c_custkey")
+    paths = _t(spark, d, "customer").select(F.col("c_nationkey").alias("path"), c.alias("seq"), (c % 26).alias("xi"), (c % 11).alias("yi"), F.lit(50.0).alias("start"))
+    return rounded(surfaces.follow_paths(paths, kalman_by_cloud(spark, d)), 6, "height")
+
+
+@query(f"WITH {C} SELECT xi, yi, round(CASE WHEN abs((xi + 0.5) * 2 - 25) < 10 AND abs(yi + 0.5 - 5) < 3 THEN top + 2 + 0.5 * ((xi + 0.5) * 2) - 0.25 * (yi + 0.5) ELSE top END, 6) AS top FROM cells")
+def q_shape_window(spark, d):
+    """A slope and a constant added to the cells of a window."""
+    shape = lambda c: raster.add_slope(raster.add_const(c, "top", 2.0), GRID, "top", 0.5, -0.25)
+    return rounded(raster.within(tops(spark, d).select("xi", "yi", "top"), GRID, "top", shape, 25.0, 5.0, 20.0, 6.0), 6, "top")
+
+
+@query(f"WITH {CS}, p AS (SELECT c.id AS lid, s.id AS rid, sqrt((c.x - s.x) ** 2 + (c.y - s.y) ** 2 + (c.z - s.z) ** 2) AS d FROM c, s), r AS (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY d, rid) AS k FROM p WHERE d < 12) SELECT lid, rid, round(d, 6) AS d FROM r WHERE k = 1 AND lid % 7 <> 0 AND rid % 5 <> 0 AND abs(lid % 30 - rid % 30) * 0.05 < pi() / 8 - 1e-9")
+def q_compatible_pairs(spark, d):
+    """Nearest neighbours, neither on an edge and with normals less than an eighth of a half turn apart."""
+    def side(f: DataFrame, every: int) -> DataFrame:
+        a = F.col("id") % 30 * 0.05
+        return f.withColumns({"nx": F.sin(a), "ny": F.lit(0.0), "nz": F.cos(a), "is_edge": F.col("id") % every == 0})
+
+    c, s = side(_customers(spark, d), 7), side(_suppliers(spark, d), 5)
+    return rounded(matching.compatible(matching.nearest(c, s, 12.0), c, s), 6, "d")

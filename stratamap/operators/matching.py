@@ -94,13 +94,24 @@ def rigid(m) -> np.ndarray:
     return affine(tuple(q - turn @ p), turn)
 
 
-def align(model: DataFrame, cloud: DataFrame, distance: float, overlap: float = 0.9, rounds: int = 10, least: float = 1e-6) -> tuple[np.ndarray, float, int]:
+def compatible(pairs: DataFrame, left: DataFrame, right: DataFrame, turn: float = math.pi / 8) -> DataFrame:
+    """Pairs (lid, rid, ...) of which neither point lies on an edge and whose normals (nx, ny, nz) are less than an angle apart."""
+    side = lambda d, s: d.select(F.col("id").alias(f"{s}id"), F.struct("nx", "ny", "nz", "is_edge").alias(f"_{s}"))
+    d = pairs.join(side(left, "l"), "lid").join(side(right, "r"), "rid")
+    dot = sum((F.col(f"_l.{n}") * F.col(f"_r.{n}") for n in ("nx", "ny", "nz")), F.lit(0.0))
+    same = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) < turn
+    return d.filter(~F.col("_l.is_edge") & ~F.col("_r.is_edge") & same).select(*pairs.columns)
+
+
+def align(model: DataFrame, cloud: DataFrame, distance: float, overlap: float = 0.9, rounds: int = 10, least: float = 1e-6, turn: float | None = None) -> tuple[np.ndarray, float, int]:
     """Trimmed iterative closest points: the transform of cloud onto model, its mean squared error and pairs. Each round joins
-    the moved cloud with the model, keeps the closest share of the pairs (its limit is one percentile) and fits."""
+    the moved cloud with the model, keeps the closest share of the pairs (its limit is one percentile) and fits. turn: only
+    pairs that are compatible() by it count, for which both have normals and is_edge."""
     total, mse, used = np.eye(4), math.inf, 0
     for _ in range(rounds):
-        moved = transform(cloud, total)
+        moved = transform(cloud, total, normals=turn is not None)
         near = nearest(moved, model, distance)
+        near = near if turn is None else compatible(near, moved, model, turn)
         limit = near.agg(F.percentile("d", F.lit(overlap))).first()[0]
         if limit is None:
             break

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -56,12 +57,39 @@ def linear_score(shares: DataFrame, weights: list[float], constant: float) -> Da
     return shares.agg((F.sum(F.col("share") * w) + constant).alias("score"))
 
 
-def kmeans(rows: DataFrame, axes: list[str], k: int, seed: int = 42) -> DataFrame:
+def kmeans(rows: DataFrame, axes: list[str], k: int, seed: int = 42, weight: str | None = None) -> DataFrame:
     d = rows.withColumn("features", array_to_vector(F.array(*[F.col(a).cast("double") for a in axes])))
-    return KMeans(k=k, seed=seed).fit(d).transform(d).drop("features").withColumnRenamed("prediction", "cluster")
+    return KMeans(k=k, seed=seed, weightCol=weight).fit(d).transform(d).drop("features").withColumnRenamed("prediction", "cluster")
 
 
-def mixture(rows: DataFrame, axes: list[str], k: int, seed: int = 42) -> DataFrame:
+def mixture(rows: DataFrame, axes: list[str], k: int, seed: int = 42, weight: str | None = None) -> DataFrame:
     """Expectation maximisation of a Gaussian mixture; adds the likeliest component."""
     d = rows.withColumn("features", array_to_vector(F.array(*[F.col(a).cast("double") for a in axes])))
-    return GaussianMixture(k=k, seed=seed).fit(d).transform(d).drop("features", "probability").withColumnRenamed("prediction", "component")
+    return GaussianMixture(k=k, seed=seed, weightCol=weight).fit(d).transform(d).drop("features", "probability").withColumnRenamed("prediction", "component")
+
+
+def _drawn(rows: DataFrame, axes: list[str], mean, cov, seed: int) -> DataFrame:
+    """Adds the axes, drawn from a normal distribution: its root times independent draws. A covariance may be singular."""
+    values, vectors = np.linalg.eigh(np.asarray(cov, float))
+    root = vectors * np.sqrt(np.clip(values, 0, None))
+    free = [f"_r{i}" for i in range(len(axes))]
+    d = rows.withColumns({c: F.randn(seed * 1000 + i) for i, c in enumerate(free)})
+    return d.withColumns({a: sum((F.col(c) * float(root[i, j]) for j, c in enumerate(free)), F.lit(float(mean[i]))) for i, a in enumerate(axes)}).drop(*free)
+
+
+def sample_normal(spark: SparkSession, n: int, axes: list[str], mean, cov, seed: int = 42) -> DataFrame:
+    """n draws (id, axes) of a normal distribution, as poses of an uncertain frame. Each task draws its own."""
+    return _drawn(spark.range(n), axes, mean, cov, seed)
+
+
+def sample_mixture(spark: SparkSession, n: int, axes: list[str], parts: list[tuple[float, list[float], list[list[float]]]], seed: int = 42) -> DataFrame:
+    """n draws (id, component, axes) of a mixture of normal distributions (weight, mean, covariance)."""
+    ends = np.cumsum([w for w, _, _ in parts]) / sum(w for w, _, _ in parts)
+    pick = F.lit(len(parts) - 1)
+    for i in range(len(parts) - 2, -1, -1):
+        pick = F.when(F.col("_u") < float(ends[i]), i).otherwise(pick)
+    d = spark.range(n).withColumn("_u", F.rand(seed)).withColumn("component", pick).drop("_u")
+    for i, (_, mean, cov) in enumerate(parts):
+        d = _drawn(d, [f"_{i}_{a}" for a in axes], mean, cov, seed + 1 + i)
+    chosen = {a: F.coalesce(*[F.when(F.col("component") == i, F.col(f"_{i}_{a}")) for i in range(len(parts))]) for a in axes}
+    return d.select("id", "component", *[c.alias(a) for a, c in chosen.items()])

@@ -61,11 +61,18 @@ def terrain(cells: DataFrame, spec: GridSpec, band: str = "top") -> DataFrame:
     return s.filter("k >= 5").select(*CELL, F.acos(1 / F.sqrt(a * a + b * b + 1)).alias("slope"), "max_step")
 
 
-def steps(cells: DataFrame, spec: GridSpec, band: str = "top", threshold: float = 0.25) -> DataFrame:
+def steps(cells: DataFrame, spec: GridSpec, band: str = "top", threshold: float = 0.25, sd: str | None = None, least: int = 0, count: str = "n") -> DataFrame:
     """max_step and corrected_step: the largest difference to the eight neighbours, and the same less the even slope between
-    opposite neighbours where it is under the threshold. Unknown (absent) at borders and with under five neighbours."""
+    opposite neighbours where it is under the threshold. Unknown (absent) at borders and with under five neighbours. sd: a band
+    of deviations, by which a step reaches beyond both its ends; least: cells of fewer measurements take no part."""
+    cells = measured_often(cells, least, count) if least else cells
     n = with_neighbours(cells, OPPOSITE, band).filter(inner(spec))
-    slot = [F.coalesce(F.max(F.when((F.col("dx") == a) & (F.col("dy") == b), F.abs(F.col("own") - F.col("other")))), F.lit(0.0)).alias(f"s{i}") for i, (a, b) in enumerate(OPPOSITE)]
+    step = F.abs(F.col("own") - F.col("other"))
+    if sd:
+        spread_ = spread(cells, OPPOSITE, [sd]).withColumnRenamed(sd, "_other_sd")
+        n = n.join(cells.select(*CELL, F.col(sd).alias("_own_sd")), CELL).join(spread_, [*CELL, "dx", "dy"])
+        step = step + F.col("_own_sd") + F.col("_other_sd")
+    slot = [F.coalesce(F.max(F.when((F.col("dx") == a) & (F.col("dy") == b), step)), F.lit(0.0)).alias(f"s{i}") for i, (a, b) in enumerate(OPPOSITE)]
     d = n.groupBy(*CELL).agg(F.count("*").alias("n"), *slot).filter("n >= 5")
     d = d.withColumn("max_step", F.greatest(*[F.col(f"s{i}") for i in range(8)]))
     pairs = [(F.col(f"s{i}"), F.col(f"s{i + 1}")) for i in range(0, 8, 2)]
@@ -83,8 +90,10 @@ def plane(sums: dict[str, Column]) -> tuple[Column, Column, Column]:
     return a, b, c
 
 
-def slope(cells: DataFrame, spec: GridSpec, band: str = "top", window: int = 1) -> DataFrame:
-    """The angle of the least squares plane through a cell and its neighbours; unknown at borders and with under five."""
+def slope(cells: DataFrame, spec: GridSpec, band: str = "top", window: int = 1, least: int = 0, count: str = "n") -> DataFrame:
+    """The angle of the least squares plane through a cell and its neighbours; unknown at borders and with under five. Cells of
+    fewer than ``least`` measurements take no part."""
+    cells = measured_often(cells, least, count) if least else cells
     around = [(a, b) for a in range(-window, window + 1) for b in range(-window, window + 1) if (a, b) != (0, 0)]
     n = with_neighbours(cells, around, band).filter(inner(spec)).withColumns({"px": F.col("dx") * spec.sx, "py": F.col("dy") * spec.sy, "pz": F.col("own") - F.col("other")})
     s = n.groupBy(*CELL).agg(F.count("*").alias("k"), *[F.sum(e).alias(f"m_{name}") for name, e in (("x", F.col("px")), ("y", F.col("py")), ("z", F.col("pz")), ("xx", F.col("px") * F.col("px")), ("xy", F.col("px") * F.col("py")), ("yy", F.col("py") * F.col("py")), ("xz", F.col("px") * F.col("pz")), ("yz", F.col("py") * F.col("pz")))])
@@ -228,3 +237,15 @@ def add_slope(cells: DataFrame, spec: GridSpec, band: str, gx: float, gy: float)
 def add_sphere(cells: DataFrame, spec: GridSpec, band: str, x: float, y: float, radius: float) -> DataFrame:
     cx, cy = spec.centre(F.col("xi"), F.col("yi"))
     return cells.withColumn(band, F.col(band) + F.sqrt(F.greatest(F.lit(0.0), radius * radius - (cx - x) * (cx - x) - (cy - y) * (cy - y))))
+
+
+def add_const(cells: DataFrame, band: str, value: float) -> DataFrame:
+    return cells.withColumn(band, F.col(band) + value)
+
+
+def within(cells: DataFrame, spec: GridSpec, band: str, shape, x: float, y: float, width: float, height: float) -> DataFrame:
+    """A synthesis (cells to cells, as add_slope()) for cells whose centres lie in a window around (x, y) alone."""
+    cx, cy = spec.centre(F.col("xi"), F.col("yi"))
+    inside = (F.abs(cx - x) < width / 2) & (F.abs(cy - y) < height / 2)
+    made = shape(cells.withColumn("_was", F.col(band)))
+    return made.withColumn(band, F.when(inside, F.col(band)).otherwise(F.col("_was"))).drop("_was")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..geometry import GridSpec
+from ..geometry import GridSpec, Uncertain
 from .raster import CELL, plane, to_cells
 
 VERTICAL, HORIZONTAL, NEGATIVE = 0, 1, 2
@@ -320,3 +320,84 @@ def choose_grid(grids: dict[str, tuple[float, float]], x: float, y: float, thres
         return None
     d, name = min((max(abs(cx - x), abs(cy - y)), name) for name, (cx, cy) in grids.items())
     return name if d <= threshold else None
+
+
+def follow_paths(paths: DataFrame, patches: DataFrame) -> DataFrame:
+    """As follow(), for many paths: rows (path, seq, xi, yi, start) get a height, start being that before the first. A path's
+    rows stream by in order with the heights in their cells; only the last height is held."""
+    here = patches.groupBy(*CELL).agg(F.sort_array(F.collect_list("mean")).alias("_heights"))
+    d = paths.select("path", "seq", *CELL, "start").join(here, CELL, "left").repartition("path").sortWithinPartitions("path", "seq")
+    kind = paths.schema["path"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, height = None, 0.0
+        for d in batches:
+            out = []
+            for path, start, heights in zip(d["path"], d["start"], d["_heights"], strict=True):
+                at, height = path, start if path != at else height
+                if heights is not None and len(heights):
+                    height = min(heights, key=lambda m: (abs(m - height), m))
+                out.append(height)
+            yield d[["path", "seq", *CELL]].assign(height=np.array(out, float))
+
+    return d.mapInPandas(run, f"path {kind}, seq long, xi long, yi long, height double")
+
+
+def pose_variance(spec: GridSpec, pose: Uncertain) -> Column:
+    """The variance in z that an uncertain pose of the sensor gives a patch at its cell's centre: the rotation's by the lever
+    about the pose's place, and the translation's."""
+    cx, cy = spec.centre(F.col("xi"), F.col("yi"))
+    if pose.cov is None:
+        return F.lit(0.0)
+    j = {0: cy - float(pose.m[1, 3]), 1: float(pose.m[0, 3]) - cx, 5: F.lit(1.0)}
+    return sum((j[a] * j[b] * float(pose.cov[a, b]) for a in j for b in j), F.lit(0.0))
+
+
+def free_space(patches: DataFrame, spec: GridSpec, origin: tuple[float, float, float]) -> DataFrame:
+    """Patches of free space on the lines of sight from a sensor to the patches that it saw: (fx, fy, ord, k) of the patch seen
+    and the step from it, the cell, and the mean, stdev and height of what is free there, which narrow towards the sensor."""
+    ox, oy = (int(math.floor((o - a) / s)) for o, a, s in ((origin[0], spec.ox, spec.sx), (origin[1], spec.oy, spec.sy)))
+    if not (0 <= ox < spec.nx and 0 <= oy < spec.ny):
+        raise ValueError("the sensor must be within the grid")
+    dx, dy = ox - F.col("fx"), oy - F.col("fy")
+    d = patches.select(F.col("xi").alias("fx"), F.col("yi").alias("fy"), "ord", F.col("mean").alias("_mean"), F.col("stdev").alias("_sd"), F.col("height").alias("_h"))
+    d = d.withColumn("_n", F.greatest(F.abs(dx), F.abs(dy))).filter("_n > 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    k, n = F.col("k"), F.col("_n")
+    go = lambda at, by: F.col(at) + F.signum(by).cast("long") * F.ceil((2 * k * F.abs(by) - n) / (2 * n))
+    up = F.lit(origin[2]) - F.col("_mean")
+    far = F.sqrt(F.pow(dx * spec.sx, 2) + F.pow(dy * spec.sy, 2))
+    f, seen = 1 - k / n, spec.sx / far * up
+    return d.select("fx", "fy", "ord", "k", go("fx", dx).alias("xi"), go("fy", dy).alias("yi"), (F.col("_mean") + seen * f + up * (1 - f)).alias("mean"), (F.col("_sd") * f).alias("stdev"), F.abs((F.col("_h") + seen) * f).alias("height"))
+
+
+def project_with_free_space(points: DataFrame, spec: GridSpec, order: list[str], origin: tuple[float, float, float], pose: Uncertain | None = None, thickness: float = 0.05, gap: float = 1.0, **options) -> DataFrame:
+    """project(), with what the sensor at origin saw to be free: first the patches, then the free space of each in their order."""
+    seen = project(points, spec, order, pose_var=pose_variance(spec, pose) if pose else None, thickness=thickness, gap=gap, **options)
+    known = seen.withColumns({"fx": F.col("xi"), "fy": F.col("yi"), "k": F.lit(0).cast("long"), "_free": F.lit(0)})
+    free = free_space(seen, spec, origin).withColumns({"n": F.lit(1.0), "low": F.col("mean"), "high": F.col("mean"), "idx": F.lit(0).cast("long"), "type": F.lit(NEGATIVE), "_free": F.lit(1)})
+    # Patches of a cell are put back oldest first, as each new one is put in front of those before it.
+    both = known.withColumn("ord", -F.col("ord")).unionByName(free)
+    return fold(both, ["_free", "fx", "fy", "ord", "k"], thickness, gap)
+
+
+def apart(mean: Column, height: Column, type_: Column, mean2: Column, height2: Column, type2: Column) -> Column:
+    """The distance in z of two patches: of a block, from its nearer end (none inside it); two blocks are not told apart."""
+    to = lambda m, h, z: F.when(z > m, z - m).otherwise(F.greatest(F.lit(0.0), m - h - z))
+    flat, flat2 = type_ == HORIZONTAL, type2 == HORIZONTAL
+    return F.when(~flat & ~flat2, 0.0).when(~flat, to(mean, height, mean2)).when(~flat2, to(mean2, height2, mean)).otherwise(F.abs(mean - mean2))
+
+
+def first_match(patches: DataFrame, probes: DataFrame, k: float = 3.0, skip_free: bool = False) -> DataFrame:
+    """For each probe (id, xi, yi, mean, stdev, height, type) the first patch of its cell, in the order of ord, that is
+    nearer than k joint deviations: (id, ord, mean, stdev). skip_free: patches of free space match none."""
+    p = patches.filter(F.col("type") != NEGATIVE) if skip_free else patches
+    p = p.select(*CELL, "ord", "mean", "stdev", "height", "type")
+    q = probes.select("id", *CELL, *[F.col(c).alias(f"_{c}") for c in ("mean", "stdev", "height", "type")])
+    near = apart(*[F.col(c) for c in ("mean", "height", "type", "_mean", "_height", "_type")]) < k * F.sqrt(F.col("stdev") * F.col("stdev") + F.col("_stdev") * F.col("_stdev"))
+    return q.join(p, CELL).filter(near).groupBy("id").agg(F.min(F.struct("ord", "mean", "stdev")).alias("m")).select("id", "m.*")
+
+
+def scale_sums(patches: DataFrame, factor: float, sums: list[str], squares: list[str] = ()) -> DataFrame:
+    """Patches kept as weighted sums, with all weights times factor; squares: sums of squared weights. Means and deviations
+    that come from them stay."""
+    return patches.withColumns({**{c: F.col(c) * factor for c in sums}, **{c: F.col(c) * factor * factor for c in squares}})

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from graphlib import TopologicalSorter
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ..geometry import Uncertain, affine
@@ -29,6 +30,19 @@ class Item:
     arity: tuple[int, int] = (1, 1)
     metadata: dict = field(default_factory=dict)
 
+    def meta(self, key: str, make: Callable[[], object] = dict) -> object:
+        """The metadata of a key, made if there is none."""
+        if key not in self.metadata:
+            self.metadata[key] = make()
+        return self.metadata[key]
+
+    def has_meta(self, key: str) -> bool:
+        return key in self.metadata
+
+    def remove_meta(self, key: str | None = None) -> None:
+        """Of one key, or of all."""
+        self.metadata = {} if key is None else {k: v for k, v in self.metadata.items() if k != key}
+
 
 class Catalog:
     def __init__(self, prefix: str = "/") -> None:
@@ -152,6 +166,22 @@ class Catalog:
         self._links(kind)[op].remove(layer)
         self._tell(kind, "REMOVE", op, layer)
 
+    def add_link(self, kind: str, op: str, layer: str) -> None:
+        """One more input or output (kind op_input or op_output), as far as the operator takes them."""
+        if kind == "op_input" and len(self.inputs.get(op, [])) >= self.items[op].arity[1]:
+            raise ValueError(f"{op} takes no more inputs")
+        if kind == "op_output" and self.generator(layer) not in (None, op):
+            raise ValueError(f"{layer} has a generator")
+        self._links(kind).setdefault(op, []).append(layer)
+        self._tell(kind, "ADD", op, layer)
+
+    def only(self, kind: str, op: str, of: str | None = None) -> str:
+        """The one input or output of an operator, of a kind of item if one is named."""
+        found = [x for x in self._links(kind).get(op, []) if of in (None, self.items[x].kind)]
+        if len(found) != 1:
+            raise ValueError(f"{op} has {len(found)} such, not one")
+        return found[0]
+
     def generator(self, layer: str) -> str | None:
         return next((o for o, xs in self.outputs.items() if layer in xs), None)
 
@@ -223,6 +253,97 @@ def id_parts(id: str) -> tuple[str, str, int | None]:
     return f"{prefix}/", suffix, int(suffix) if re.fullmatch(r"\d+", suffix) else None
 
 
+class MultiGrid:
+    """A map of several grids, of which one is active. Each grid is a map under a frame of its own and a child layer of this
+    map; a new one is made after the active one's measures."""
+
+    def __init__(self, catalog: Catalog, label: str = "", frame: str = ROOT) -> None:
+        self.catalog, self.grids, self.active = catalog, [], ""
+        self.id = catalog.attach(Item("map", label))
+        catalog.bind(self.id, frame)
+
+    def add(self, grid: str) -> str:
+        self.catalog.add_layer(grid, self.id)
+        self.grids.append(grid)
+        self.active = grid
+        return grid
+
+    def _shift(self, frame: str, grid: str) -> tuple[float, float]:
+        m = self.catalog.between(frame, self.catalog.at[grid]).m
+        return float(m[0, 3]), float(m[1, 3])
+
+    def create(self, shift: tuple[float, float, float], aligned: bool = True) -> str:
+        """A grid without cells beside the active one; aligned: not turned, and shifted by whole cells."""
+        c, like = self.catalog, self.catalog.items[self.active]
+        spec = like.metadata["grid"]
+        x, y, z = shift
+        if aligned:
+            x, y = x // spec["sx"] * spec["sx"], y // spec["sy"] * spec["sy"]
+        under = c.at[self.active]
+        frame = c.attach(Item("frame", pose=Uncertain(affine((x, y, z)))))
+        c.set_parent(frame, under)
+        empty = None if like.frame is None else like.frame.limit(0)
+        grid = c.attach(Item("map", like.label, frame=empty, metadata=copy.deepcopy(like.metadata)))
+        c.bind(grid, frame)
+        return self.add(grid)
+
+    def select(self, frame: str, threshold: float) -> str:
+        """Makes active the grid whose frame is nearest to another by the larger of both distances, if one is nearer than the
+        threshold, else a new one at that frame."""
+        near = sorted((max(map(abs, self._shift(frame, g))), i) for i, g in enumerate(self.grids))
+        if near and near[0][0] < threshold:
+            self.active = self.grids[near[0][1]]
+        else:
+            m = self.catalog.between(frame, self.catalog.at[self.active]).m
+            self.create(tuple(float(v) for v in m[:3, 3]))
+        return self.active
+
+    def clone(self) -> MultiGrid:
+        """A map of the same grids, of which only the active one is a copy."""
+        out = MultiGrid(self.catalog, self.catalog.items[self.id].label, self.catalog.at[self.id])
+        like = self.catalog.items[self.active]
+        own = self.catalog.attach(Item("map", like.label, frame=like.frame, metadata=copy.deepcopy(like.metadata)))
+        self.catalog.bind(own, self.catalog.at[self.active])
+        for g in self.grids:
+            out.add(own if g == self.active else g)
+        out.active = own
+        return out
+
+
+@dataclass(frozen=True)
+class Kind:
+    """How a kind of item is told in words: its properties as plain values, and an item from them."""
+
+    properties: Callable[[Item], dict]
+    build: Callable[[dict], Item]
+
+
+def _pose_of(item: Item) -> dict | None:
+    if item.pose is None:
+        return None
+    return {"m": item.pose.m.ravel().tolist(), "cov": None if item.pose.cov is None else item.pose.cov.ravel().tolist()}
+
+
+def _with_pose(p: dict | None) -> Uncertain | None:
+    return p and Uncertain(np.array(p["m"]).reshape(4, 4), None if p["cov"] is None else np.array(p["cov"]).reshape(6, 6))
+
+
+def _plain(kind: str) -> Kind:
+    return Kind(
+        lambda x: {"label": x.label, "pose": _pose_of(x), "arity": list(x.arity), "metadata": x.metadata},
+        lambda p: Item(kind, p["label"], pose=_with_pose(p["pose"]), arity=tuple(p["arity"]), metadata=p["metadata"]),
+    )
+
+
+KINDS: dict[str, Kind] = {k: _plain(k) for k in ("frame", "map", "layer", "operator")}
+
+
+def item_kind(name: str, properties: Callable[[Item], dict] | None = None, build: Callable[[dict], Item] | None = None) -> None:
+    """Registers a kind of item of one's own; what isn't given is as for all others."""
+    plain = _plain(name)
+    KINDS[name] = Kind(properties or plain.properties, build or plain.build)
+
+
 OPERATORS: dict[str, Callable[..., DataFrame]] = {}
 
 

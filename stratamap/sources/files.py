@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+import warnings
 from collections import deque
 from collections.abc import Iterator
 
@@ -360,3 +361,41 @@ def read_tiff(spark: SparkSession, path: str) -> DataFrame:
                         yield pd.DataFrame({"file": file, "band": b, "xi": x, "yi": y, "x": spec.ox + (x + 0.5) * spec.sx, "y": spec.oy + (y + 0.5) * spec.sy, "value": row[x]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, band int, xi long, yi long, x double, y double, value double")
+
+
+def append_line(header: dict[str, list[float]], lines: DataFrame, tilt: float, start: float, step: float, ranges: list[int], remissions: list[int]) -> tuple[dict[str, list[float]], DataFrame]:
+    """A scan with one more line from a sensor's sample. The first line sets the header; a later one that differs from it is
+    warned of and taken all the same."""
+    spark = lines.sparkSession
+    if not header:
+        header = {"origin_psi": [start], "delta_psi": [step], "points_per_line": [float(len(ranges))]}
+    for name, value in (("origin_psi", start), ("delta_psi", step), ("points_per_line", float(len(ranges)))):
+        if header.get(name, [value])[0] != value:
+            warnings.warn(f"{name} of the line differs from the scan's", stacklevel=2)
+    last = lines.agg(F.max("line")).first()[0]
+    line = [(0 if last is None else last + 1, tilt, list(ranges), list(remissions))]
+    return header, lines.unionByName(spark.createDataFrame(line, lines.select("line", "phi", "ranges", "remissions").schema))
+
+
+def cloud_from_samples(spark: SparkSession, points: np.ndarray, colours: np.ndarray | None = None) -> DataFrame:
+    """A sensor's points (n by 3), with colours (n by 3, 0 to 1) if there are as many."""
+    cols = {"vid": np.arange(len(points)), **{a: points[:, i].astype(float) for i, a in enumerate("xyz")}}
+    if colours is not None and len(colours) == len(points):
+        cols |= {c: colours[:, i].astype(float) for i, c in enumerate(("red", "green", "blue"))}
+    return spark.createDataFrame(pd.DataFrame(cols))
+
+
+def cells_from_image(spark: SparkSession, image: np.ndarray, bands: tuple[str, ...] = ("distance",)) -> DataFrame:
+    """A distance image or a frame (rows by columns, or that by channels) as cells; what is not finite becomes null."""
+    v = image.reshape(image.shape[0], image.shape[1], -1).astype(float)
+    if v.shape[2] != len(bands):
+        raise ValueError("the image has another number of channels")
+    yi, xi = np.divmod(np.arange(v.shape[0] * v.shape[1]), v.shape[1])
+    d = spark.createDataFrame(pd.DataFrame({"xi": xi, "yi": yi, **{b: v[:, :, i].ravel() for i, b in enumerate(bands)}}))
+    finite = lambda b: F.when(~F.isnan(b) & (F.abs(b) != float("inf")), F.col(b))
+    return d.withColumns({b: finite(b) for b in bands})
+
+
+def grey_frame(cells: DataFrame, spec: GridSpec, band: str, kind: str = "u1") -> np.ndarray:
+    """A band as a grey image of as many bits a pixel as its kind of number has (cells without a value are 0)."""
+    return np.frombuffer(band_bytes(cells, spec, band, kind, 0), kind).reshape(spec.ny, spec.nx)
