@@ -556,7 +556,10 @@ def q_scan_faces(spark, d):
     return f.select(*[F.col(f"{n}.{k}").alias(f"{n}_{k}") for n in "abc" for k in ("line", "beam")])
 
 
-@query()
+_gap = lambda a: f"greatest(0.0, s.{a} - (c.{a} + 1), c.{a} - (s.{a} + 3))"
+
+
+@query(f"WITH {CS}, g AS (SELECT s.id AS lid, c.id AS rid, sqrt({_gap('x')} ** 2 + {_gap('y')} ** 2) AS distance, c.x >= s.x AND c.x + 1 <= s.x + 3 AND c.y >= s.y AND c.y + 1 <= s.y + 3 AS contains FROM s, c) SELECT lid, rid, round(distance, 6) AS distance, contains FROM g WHERE distance <= 2")
 def q_poly_distance(spark, d):
     def shape(df: DataFrame, size: float) -> DataFrame:
         at = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))

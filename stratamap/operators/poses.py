@@ -57,15 +57,19 @@ def linear_score(shares: DataFrame, weights: list[float], constant: float) -> Da
     return shares.agg((F.sum(F.col("share") * w) + constant).alias("score"))
 
 
+def _weighed(weight: str | None) -> dict[str, str]:
+    return {"weightCol": weight} if weight else {}
+
+
 def kmeans(rows: DataFrame, axes: list[str], k: int, seed: int = 42, weight: str | None = None) -> DataFrame:
     d = rows.withColumn("features", array_to_vector(F.array(*[F.col(a).cast("double") for a in axes])))
-    return KMeans(k=k, seed=seed, weightCol=weight).fit(d).transform(d).drop("features").withColumnRenamed("prediction", "cluster")
+    return KMeans(k=k, seed=seed, **_weighed(weight)).fit(d).transform(d).drop("features").withColumnRenamed("prediction", "cluster")
 
 
 def mixture(rows: DataFrame, axes: list[str], k: int, seed: int = 42, weight: str | None = None) -> DataFrame:
     """Expectation maximisation of a Gaussian mixture; adds the likeliest component."""
     d = rows.withColumn("features", array_to_vector(F.array(*[F.col(a).cast("double") for a in axes])))
-    return GaussianMixture(k=k, seed=seed, weightCol=weight).fit(d).transform(d).drop("features", "probability").withColumnRenamed("prediction", "component")
+    return GaussianMixture(k=k, seed=seed, **_weighed(weight)).fit(d).transform(d).drop("features", "probability").withColumnRenamed("prediction", "component")
 
 
 def _drawn(rows: DataFrame, axes: list[str], mean, cov, seed: int) -> DataFrame:

@@ -113,3 +113,9 @@ def test_windows_of_shapes(spark):
     g = GridSpec(4, 4, 1.0, 1.0)
     d = raster.within(raster.empty(g, spark, h=0.0), g, "h", lambda c: raster.add_const(c, "h", 2.0), 1.0, 1.0, 2.0, 2.0)
     assert d.columns == ["xi", "yi", "h"] and {(r.xi, r.yi) for r in d.filter("h = 2").collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+
+
+def test_weights_move_centres(spark):
+    d = spark.createDataFrame([(0.0, 100.0), (1.0, 1.0), (50.0, 1.0), (51.0, 1.0)], "x double, weight double")
+    got = {r.x: r.cluster for r in poses.kmeans(d, ["x"], 2, weight="weight").collect()}
+    assert got[0.0] == got[1.0] != got[50.0] == got[51.0]
