@@ -608,7 +608,7 @@ def q_mesh_faces(spark, d):
 
 @query()
 def q_markers(spark, d):
-    """Bright marks of ten scans, each of a tenth of the lines."""
+    """Bright marks of scans of fifty lines each."""
     p = _mesh(spark, d).withColumn("scan", F.floor(F.col("line") / 50))
     return rounded(points.markers(p, 6500.0, 0.5), 6, "x", "y", "z")
 
@@ -655,9 +655,8 @@ def q_free_space(spark, d):
 
 @query()
 def q_projection_free_space(spark, d):
-    """Points of one cloud projected, with what is free between them and the sensor."""
-    p = pts(spark, d).filter(F.col("cloud") == "A")
-    return rounded(surfaces.project_with_free_space(p, GRID, ["vid"], SENSOR, UNSURE), 6, "mean", "stdev", "height")
+    """All points projected, with what is free between them and the sensor."""
+    return rounded(surfaces.project_with_free_space(pts(spark, d), GRID, ["cloud", "vid"], SENSOR, UNSURE), 6, "mean", "stdev", "height")
 
 
 @query(f"""WITH {C}, k AS ({KAL.format(by='cloud,', where='')}),
