@@ -44,7 +44,7 @@ CACHE, SENT, KNOWN = 600_000, 200_000, 40_000
 TOGETHER, AT_ONCE = 5_000, 8 << 20
 #: Nodes below a node of the manifest.
 FAN = 1024
-ODD = np.uint64(0x9E3779B97F4A7C15)
+ODD = np.uint32(0x9E3779B1)
 
 
 def by_words(path: str) -> bool:
@@ -60,6 +60,30 @@ def by_words(path: str) -> bool:
     return bool(plain and tame and fixed and not d.get("normalizer") and not d.get("truncation") and not d.get("padding"))
 
 
+def separator(path: str) -> int | None:
+    """The token of a byte that no merge of the tokenizer file takes part in and that UTF-8 never holds (0xC0), if it has one."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    sign = BYTES[0xC0]
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in model.get("merges") or [])
+    return None if model.get("ignore_merges") or any(sign in a or sign in b for a, b in pairs) else model["vocab"].get(sign)
+
+
+def byte_signs() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable in Latin-1, else the
+    next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b if b in plain else next(other)) for b in range(256)]
+
+
+BYTES = byte_signs()
+#: Code points of these as a table by byte; byte 0 (in no word of letters) stands for the separator.
+POINTS = np.array([ord(BYTES[b or 0xC0]) for b in range(256)], "<u4")
+#: Words that the tokenizer's pattern leaves whole whatever its Unicode version is: Latin letters alone.
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+#: Words of letters that go through the model as one string.
+PIECE = 256
 BAD, SOLID, SIGN = 1, 2, 4
 
 
@@ -70,7 +94,8 @@ class WordEncoder:
     (except the blank that leads a word), nor from a letter or digit into a full stop or comma before a blank. So a text
     without runs of white space is the sum of such pieces; any other text is encoded as a whole, and so is every
     text where by_words() finds another kind of tokenizer. New pieces are encoded together, as one text: each begins
-    with the only token in it that begins with a blank or is a newline.
+    with the only token in it that begins with a blank or is a newline. Where words are letters alone, the pattern has
+    nothing to find in them; these go straight through the library's merges, apart by a byte that never merges.
 
     Words are numbered; ``pool`` holds the ids of all words one after the other, word i's from begin[i], size[i] of them."""
 
@@ -82,6 +107,13 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t[0] in "\u0120\u010a"]] = True
+        self.apart = separator(path) if self.words else None
+        if self.apart is not None:
+            from tokenizers import pre_tokenizers
+
+            self.merges = Tokenizer.from_file(path)
+            self.merges.pre_tokenizer = pre_tokenizers.Sequence([])
+            self.merges.model._resize_cache(0)  # no word comes twice
         self._clear()
 
     def _clear(self) -> None:
@@ -104,18 +136,39 @@ class WordEncoder:
             more = need
             self.begin, self.size, self.uses, self.flags = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.begin, self.size, self.uses, self.flags))
 
-    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray, flag: int | None = None) -> None:
         self._room(len(ids), len(words))
         n = len(self.number)
         self.pool[self.end : self.end + len(ids)] = ids
         self.begin[n : n + len(words)] = self.end + np.cumsum(sizes) - sizes
         self.size[n : n + len(words)] = sizes
-        self.flags[n : n + len(words)] = [SOLID if w[-1:].isalnum() else 0 for w in words]
+        self.flags[n : n + len(words)] = [SOLID if w[-1:].isalnum() else 0 for w in words] if flag is None else flag
         self.number.update(zip(words, range(n, n + len(words)), strict=True))
         self.end += len(ids)
 
+    def _learn_letters(self, lead: str, words: list[str]) -> list[str]:
+        """Learns those of the words (after lead) that are letters alone, and returns the others."""
+        bodies = [w[1:] for w in words] if lead == "\n" else words
+        easy = pc.match_substring_regex(pa.array(bodies, pa.large_string()), LETTERS).to_pylist()
+        some, bodies = [w for w, e in zip(words, easy, strict=True) if e], [b for b, e in zip(bodies, easy, strict=True) if e]
+        if not some:
+            return words
+        # A newline is a pre-token of its own, a blank belongs to its word's.
+        lead = "\n\0" if lead == "\n" else lead
+        runs = [lead + f"\0{lead}".join(bodies[i : i + PIECE]) for i in range(0, len(bodies), PIECE)]
+        runs = [POINTS[np.frombuffer(r.encode(), np.uint8)].tobytes().decode("utf-32-le") for r in runs]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.merges.encode_batch_fast(runs, add_special_tokens=False)])
+        ids = ids[ids != self.apart]
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) != len(some):
+            return words
+        self._add(some, ids, np.diff(np.append(at, len(ids))), SOLID)
+        return [w for w, e in zip(words, easy, strict=True) if not e]
+
     def _learn(self, words: list[str]) -> None:
         lines, plain = [w for w in words if w[:1] == "\n"], [w for w in words if w[:1] != "\n"]
+        if self.apart is not None:
+            lines, plain = self._learn_letters("\n", lines), self._learn_letters(" ", plain)
         for lead, some in (("", lines), (" ", plain)):
             # Where no white space is in any word (or empty word), all of them can be cut out of a text.
             if len("".join(some).split() if lead == "" else " ".join(some).split()) != len(some):
@@ -216,13 +269,14 @@ def encoder(path: str) -> WordEncoder:
 def marks(ids: np.ndarray) -> np.ndarray:
     """Ends of id runs whose rolling hash over the last WINDOW ids asks for a cut. Within the first LEAST ids of a document no
     cut is taken, so that documents may follow each other here: further on a window holds ids of its own document only."""
-    h = (ids.astype(np.uint64) + np.uint64(1)) * ODD
-    h ^= h >> np.uint64(29)
-    m = 1
+    h = (ids.astype(np.uint32) + np.uint32(1)) * ODD
+    h ^= h >> np.uint32(15)
+    m, more = 1, np.empty_like(h)
     while m < WINDOW and len(h) > m:
-        h[m:] = h[m:] + h[:-m] * (ODD + np.uint64(2 * m))
+        np.multiply(h[:-m], ODD + np.uint32(2 * m), out=more[m:])
+        h[m:] += more[m:]
         m *= 2
-    return np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+    return np.flatnonzero((h >> np.uint32(16)) & np.uint32(MASK) == 0) + 1
 
 
 def cut_points(found: np.ndarray, n: int) -> list[int]:
