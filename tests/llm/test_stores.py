@@ -63,6 +63,18 @@ def test_word_encoder_equals_the_library():
             assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_words_of_letters_by_merges_alone():
+    tok, e = Tokenizer.from_file(PATH), tokenstore.WordEncoder(PATH)
+    assert e.apart is not None
+    signs = [chr(c) for c in range(0x20, 0x2A0)] + list("ßẞﬁ日\0\1\u0300'")
+    r = random.Random(9)
+    texts = [f"one {c} {c}{c} a{c}b\n{c}z x{c}. {c}, end" for c in signs]
+    texts += [" ".join("".join(r.choice(signs) for _ in range(r.randint(1, 9))) for _ in range(60)) for _ in range(40)]
+    texts += ["x " + " ".join("".join(r.choice("etaoinéüø") for _ in range(r.randint(1, 12))) for _ in range(3 * tokenstore.PIECE)), "a\nb\nÀ\nc"]
+    for t, got in zip(texts, e(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_chunks_and_checksums():
     ids = np.random.default_rng(1).integers(0, 50000, 30_000).astype(np.uint32)
     cut = lambda ids: tokenstore.cut_points(tokenstore.marks(ids), len(ids))
