@@ -14,7 +14,7 @@ from .surrogates import op1_surrogates
 from .toxicity import op5_weak_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_surrogates, op2_pack_best_fit, op3_mix_sources, op4_hilbert_neighbours, op5_weak_toxicity, op6_shard_best_fit, op7_repeated_substrings, op8_token_store, op9_simhash_components, op10_ogg_media)}
-#: Brute force over all pairs: exact where the search is, that is up to EXACT classes. The others have hash orders, learned
+#: Brute force over all pairs, which the search's exact check equals at every size. The others have hash orders, learned
 #: weights, packings or file formats, which SQL has no form for.
 SQL: dict[str, str] = {
     "op4_hilbert_neighbours": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER () AS u FROM embeddings

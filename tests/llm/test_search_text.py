@@ -82,6 +82,32 @@ def test_copies_with_one_id_are_neighbours_of_each_other(spark):
     assert got == [(20, 1, 20, 1.0), (20, 1, 20, 1.0), (20, 2, 3, 0.5), (20, 2, 3, 0.5)]
 
 
+@pytest.mark.parametrize(("curves", "window"), [(4, None), (1, 1)])
+def test_results_do_not_depend_on_size_windows_or_curves(spark, curves, window, monkeypatch):
+    monkeypatch.setattr(neighbours, "EXACT", 7)  # many times fewer than queries, and than classes
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 1) for _ in range(12)]) for i in range(600)] + [(1000 + i, [float(r.randint(-1, 1)) for _ in range(11)] + [1.0]) for i in range(300)]
+    d = spark.createDataFrame(rows, "id long, v array<float>")
+    got = [tuple(x) for x in neighbours.search(d, d.filter("id % 20 = 0").select("id"), k=10, curves=curves, window=window).orderBy("query_id", "rank").collect()]
+    want = brute(rows, sorted(i for i, _ in rows if i % 20 == 0), 10)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], rtol=1e-12)
+
+
+def test_exact_check_finds_all_that_reach_the_bar_and_keeps_ties():
+    draw = np.random.default_rng(6)
+    for v in (draw.integers(-1, 2, (400, 6)).astype(float), draw.normal(size=(8, 6))[draw.integers(0, 8, 400)] * 9 + 0.1 * draw.normal(size=(400, 6))):
+        classes, first, s = np.arange(400), draw.permutation(400), v @ v.T
+        np.fill_diagonal(s, -np.inf)
+        bars = np.where(classes[:40] % 3 == 0, -np.inf, np.sort(s[:40], axis=1)[:, -5])
+        want = [[j for j in np.lexsort((first, -np.round(s[i], 9))) if s[i, j] >= bars[i] - 1e-9 and j != i][:5] for i in range(40)]
+        got = [[] for _ in want]
+        for at in range(0, 400, 50):
+            q, c, x = neighbours.above(classes[:40], v[:40], bars - 1e-9, classes[at : at + 50], first[at : at + 50], v[at : at + 50], 5)
+            for i, j, y in zip(q.tolist(), c.tolist(), x.tolist(), strict=True):
+                got[i].append((-round(y, 9), first[j], j))
+        assert [[j for *_, j in sorted(g)[:5]] for g in got] == want
+
+
 def corpus(n=3000, seed=1):
     r = random.Random(seed)
     plain = ["".join(r.choice(["ba", "ko", "mi", "tu", "re", "lo"]) for _ in range(r.randint(1, 4))) for _ in range(400)]
