@@ -40,6 +40,8 @@ from .common import arrow_map, free, remove, stored, table
 #: Bounds of what is learned from: labelled rows of either class, lexicon entries, documents for the classifier, its words.
 TOXIC_ROWS, CLEAN_ROWS, ENTRIES, TRAIN_ROWS, TERMS = 4000, 8000, 1500, 40_000, 200
 GROUPS, SHORTEST, LONGEST = 8, 4, 7
+#: Rows of the classifier's sample that are doubles at a time.
+BLOCK = 2048
 #: An entry's share of the toxic sample, and of what it occurs in that is toxic.
 SHARE, PURITY = 0.01, 0.97
 #: Purity under which a word of the fixed list does not count.
@@ -238,15 +240,18 @@ def bits(votes: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
-    """Weights (the last is the constant) of a logistic regression on soft labels, by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+    """Weights (the last is the constant) of a logistic regression on soft labels, by Newton steps. x may be narrow numbers;
+    only ``BLOCK`` rows at a time are doubles, as this runs on the driver."""
+    w = np.zeros(x.shape[1] + 1)
     penalty = np.full(len(w), ridge * weight.sum())
     penalty[-1] = 1e-9
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + penalty * w
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6)
+        g, h = penalty * w, np.diag(penalty + 1e-6)
+        for k in range(0, len(x), BLOCK):
+            b, of = np.column_stack([x[k : k + BLOCK], np.ones(len(x[k : k + BLOCK]))]), weight[k : k + BLOCK]
+            p = 1 / (1 + np.exp(-np.clip(b @ w, -30, 30)))
+            g += b.T @ (of * (p - y[k : k + BLOCK]))
+            h += (b * (of * p * (1 - p))[:, None]).T @ b
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -262,9 +267,9 @@ class Model:
     #: Of the features, the terms and the constant.
     weights: np.ndarray
 
-    def score(self, features: np.ndarray, terms: list[list[int]]) -> np.ndarray:
-        of = self.weights[FEATURES:-1]
-        z = features @ self.weights[:FEATURES] + self.weights[-1] + np.array([of[t].sum() for t in terms])
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Of rows of features and terms."""
+        z = np.concatenate([x[k : k + BLOCK].astype(np.float64) @ self.weights[:-1] for k in range(0, len(x), BLOCK)]) + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -327,13 +332,21 @@ def best_shift(scores: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> flo
     return float(tied[len(tied) // 2])
 
 
-def _dense(features: list, terms: list, n: int) -> np.ndarray:
-    x = np.zeros((len(features), FEATURES + n), np.float32)
-    if len(features):
-        x[:, :FEATURES] = np.array(features, np.float32)
-    for i, t in enumerate(terms):
-        x[i, FEATURES + np.array(t, np.int64)] = 1
-    return x
+def _gathered(seen: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Votes, features and terms (a row of floats for each document), and the kept columns of a bounded frame, by Arrow: no
+    Python object for a value."""
+    t = seen.toArrow()
+    column = lambda c: t[c].combine_chunks()
+    x = np.zeros((len(t), FEATURES + n), np.float32)
+    x[:, :FEATURES] = column(SEEN[1]).flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+    found = column(SEEN[2])
+    x[np.repeat(np.arange(len(t)), found.value_lengths().to_numpy(zero_copy_only=False)), FEATURES + found.flatten().to_numpy(zero_copy_only=False)] = 1
+    return column(SEEN[0]).to_numpy(zero_copy_only=False), x, {c: column(c).to_numpy(zero_copy_only=False) for c in t.column_names if c not in SEEN}
+
+
+def _in_order(x: np.ndarray) -> np.ndarray:
+    """An order of rows that their contents decide, found without a copy of the columns."""
+    return np.argsort(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), kind="stable")
 
 
 def training_sample(docs: DataFrame, text: str = "text", most: int = TRAIN_ROWS) -> DataFrame:
@@ -365,17 +378,17 @@ def train(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     terms = own_terms(some, fitted(some))
     seen, _ = stored(_observe(docs, list(keep), entries, terms, text), "votes")
     model = fitted(seen)
-    rows = _observe(some.select("text"), [], entries, terms).toPandas()
-    x = _dense(rows[SEEN[1]].tolist(), rows[SEEN[2]].tolist(), len(terms))
-    order = np.lexsort(x.T[::-1]) if len(x) else np.zeros(0, int)  # sums in one order, whatever the tasks
-    y = model.posterior(bits(rows[SEEN[0]].to_numpy(np.int64)))
-    w = logistic(x[order].astype(np.float64), y[order], np.ones(len(y))) if len(y) else np.zeros(FEATURES + len(terms) + 1)
+    votes, x, _ = _gathered(_observe(some.select("text"), [], entries, terms), len(terms))
+    y = model.posterior(bits(votes))
+    order = _in_order(x)  # sums in one order, whatever the tasks
+    x, y = x[order], y[order]
+    w = logistic(x, y, np.ones(len(y))) if len(y) else np.zeros(FEATURES + len(terms) + 1)
     remove(spark, some_path)
     out = Model(entries, model, terms, w)
-    known = _observe(sample, ["toxic"], entries, terms).toPandas()
-    toxic = known["toxic"].to_numpy() == 1
+    _, x, known = _gathered(_observe(sample, ["toxic"], entries, terms), len(terms))
+    toxic = known["toxic"] == 1
     if toxic.any() and not toxic.all():
-        scores = out.score(np.array(known[SEEN[1]].tolist(), float), known[SEEN[2]].tolist())
+        scores = out.score(x)
         weight = np.where(toxic, prior / toxic.sum(), (1 - prior) / (~toxic).sum())
         w[-1] -= best_shift(scores, toxic, weight)
     return out, seen

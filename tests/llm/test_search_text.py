@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -159,6 +160,22 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.score(seen, model).count() == 0
 
 
+def test_classifier_is_trained_in_blocks_of_doubles():
+    r = np.random.default_rng(1)
+    x = (r.random((20000, 224)) < 0.05).astype(np.float32)
+    y = 1 / (1 + np.exp(-(x[:, :20].sum(axis=1, dtype=float) * 2 - 3)))
+    tracemalloc.start()
+    w = toxicity.logistic(x, y, np.ones(len(y)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Not a copy of all rows as doubles (36 MB), as the driver has little memory.
+    assert most < 16e6
+    full = np.column_stack([x, np.ones(len(x))]).astype(float)
+    ridge = np.r_[np.full(224, 1e-3 * len(y)), 1e-9]
+    p = 1 / (1 + np.exp(-full @ w))
+    assert np.abs(full.T @ (p - y) + ridge * w).max() < 1e-2
+
+
 def test_label_model_discounts_correlated_voters():
     r = np.random.default_rng(0)
     y = r.random(20000) < 0.2

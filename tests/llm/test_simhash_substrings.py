@@ -72,6 +72,28 @@ def test_long_chain_is_one_component(spark):
     assert all(got[i] == 0 for i in range(301)) and got[2001] == 2000
 
 
+def test_rounds_and_one_task_give_the_same_components(spark):
+    r = random.Random(5)
+    links = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(300)]
+    d = spark.createDataFrame(links, "a long, b long")
+    up = {x: x for a, b in links if a != b for x in (a, b)}
+    while any(up[a] != up[b] for a, b in links if a != b):
+        for a, b in links:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    for together in (0, 299, 300):
+        found = [(x.node, x.root) for x in components.components(d, together).collect()]
+        assert len(found) == len(up) and dict(found) == up
+    assert components.components(d.limit(0)).count() == 0
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(components, "cut", lambda df, cut=components.cut: (cuts.append(df), cut(df))[1])
+    d = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    assert {x.root for x in components.components(d).collect()} == {0} and len(cuts) == 1
+
+
 def brute_removal(docs, n):
     count = collections.Counter(t[i : i + n] for _, t in docs for i in range(len(t) - n + 1))
     out = []
