@@ -1,12 +1,11 @@
 """Nearest neighbours and registration of point clouds.
 
-Points are bucketed by the largest distance allowed, so that a neighbour is in one of the buckets around: an equi-join on
-shifted buckets, never a comparison of all with all."""
+Neighbours are searched in buckets no smaller than the largest distance allowed (see search.py), so that a neighbour is in one of
+the buckets around: an equi-join on shifted buckets, never a comparison of all with all."""
 
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -18,61 +17,42 @@ from pyspark.sql import functions as F
 from ..geometry import affine, quaternion
 from ..lineage import cut
 from .points import transform
-
-
-def close_pairs(left: DataFrame, right: DataFrame, distance: float, axes: str = "xyz") -> DataFrame:
-    """(lid, rid, d) of all pairs of (id, x, y[, z]) within a distance over the axes."""
-    near = F.array(*[F.struct(*[F.lit(d).cast("long").alias(f"o{a}") for a, d in zip(axes, o, strict=True)]) for o in itertools.product((-1, 0, 1), repeat=len(axes))])
-    bucket = {a: F.floor(F.col(a) / distance).cast("long") for a in axes}
-    l = left.select(F.col("id").alias("lid"), *[F.col(a).alias(f"l{a}") for a in axes], *[bucket[a].alias(f"b{a}") for a in axes])
-    r = right.select(F.col("id").alias("rid"), *[F.col(a).alias(f"r{a}") for a in axes], *[bucket[a].alias(f"c{a}") for a in axes], F.explode(near).alias("o"))
-    r = r.select("rid", *[f"r{a}" for a in axes], *[(F.col(f"c{a}") + F.col(f"o.o{a}")).alias(f"b{a}") for a in axes])
-    d = F.sqrt(sum((F.pow(F.col(f"l{a}") - F.col(f"r{a}"), 2) for a in axes), F.lit(0.0)))
-    return l.join(r, [f"b{a}" for a in axes]).withColumn("d", d).filter(F.col("d") < distance).select("lid", "rid", "d")
+from .search import band_counts, k_sums, nearest_place, placed, places, quantile
 
 
 def nearest(left: DataFrame, right: DataFrame, distance: float, axes: str = "xyz") -> DataFrame:
-    """The nearest of right to each point of left within a distance (ties: the smaller id)."""
-    return close_pairs(left, right, distance, axes).groupBy("lid").agg(F.min(F.struct("d", "rid")).alias("m")).select("lid", "m.rid", "m.d")
+    """The nearest of right to each point (id, x, y[, z]) of left within a distance (ties: the smaller id): (lid, rid, d)."""
+    found = placed(left, axes).join(nearest_place(left, right, distance, axes), list(axes))
+    return found.groupBy(F.col("id").alias("lid")).agg(F.min(F.struct("d", "rid")).alias("m")).select("lid", "m.rid", "m.d")
 
 
 def count_in_band(left: DataFrame, right: DataFrame, distance: float, low: float, high: float) -> DataFrame:
-    """How many of right lie within a distance in the plane and a band of heights about each point of left."""
-    pairs = close_pairs(left, right, distance, "xy")
-    z = pairs.join(left.select(F.col("id").alias("lid"), F.col("z").alias("lz")), "lid").join(right.select(F.col("id").alias("rid"), F.col("z").alias("rz")), "rid")
-    return z.filter((F.col("rz") - F.col("lz")).between(low, high)).groupBy("lid").agg(F.count("*").alias("n"))
+    """How many of right lie within a distance in the plane and a band of heights about each point of left, where any do."""
+    found = placed(left).join(band_counts(left, right, distance, low, high), list("xyz"))
+    return found.groupBy(F.col("id").alias("lid")).agg(F.sum("n").alias("n"))
 
 
 def outliers(points: DataFrame, k: int, distance: float, share: float) -> DataFrame:
     """Points whose mean distance to their k nearest (within a distance; missing ones count as that far) is in the top share."""
-    from pyspark.sql.window import Window
-
-    p = close_pairs(points, points, distance).filter("lid <> rid")
-    r = p.withColumn("r", F.row_number().over(Window.partitionBy("lid").orderBy("d", "rid"))).filter(F.col("r") <= k)
-    m = points.select(F.col("id").alias("lid")).join(r.groupBy("lid").agg(F.sum("d").alias("s"), F.count("*").alias("c")), "lid", "left")
-    m = m.select(F.col("lid").alias("id"), ((F.coalesce("s", F.lit(0.0)) + (k - F.coalesce("c", F.lit(0))) * distance) / k).alias("mean_distance"))
-    limit = m.agg(F.percentile("mean_distance", F.lit(1 - share)).alias("limit"))
-    return m.join(F.broadcast(limit), F.col("mean_distance") > F.col("limit")).select("id", "mean_distance")
+    at = places(points)
+    m = placed(points).join(k_sums(at, at, k, distance), list("xyz"), "left")
+    m = cut(m.select("id", ((F.coalesce("s", F.lit(0.0)) + (k - F.coalesce("c", F.lit(0))) * distance) / k).alias("mean_distance")))
+    return m.filter(F.col("mean_distance") > F.lit(quantile(m, "mean_distance", 1 - share)))
 
 
 def outliers_exact(points: DataFrame, k: int = 24, share: float = 0.05, distance: float = 1.0) -> DataFrame:
     """Points whose mean distance to their k nearest, however far these are, is in the top share. The distance is where the
-    search begins: points with fewer than k others within it are searched again within twice as much, until none is left."""
-    from pyspark.sql.window import Window
-
-    p = cut(points.select("id", *"xyz"))
-    k, left, done = min(k, p.count() - 1), p, []
+    search begins: places with fewer than k others within it are searched again within twice as much, until none is left."""
+    p = cut(placed(points))
+    at = cut(places(p))
+    k, left, done = min(k, (at.agg(F.sum("n")).first()[0] or 0) - 1), at, []
     if k < 1:
         return p.select("id", F.lit(0.0).alias("mean_distance")).limit(0)
     while left.take(1):
-        near = close_pairs(left, p, distance).filter("lid <> rid")
-        r = near.withColumn("r", F.row_number().over(Window.partitionBy("lid").orderBy("d", "rid"))).filter(F.col("r") <= k)
-        whole = r.groupBy(F.col("lid").alias("id")).agg(F.avg("d").alias("mean_distance"), F.count("*").alias("c")).filter(F.col("c") == k).drop("c")
-        done.append(cut(whole))
-        left, distance = cut(left.join(done[-1], "id", "left_anti")), 2 * distance
-    m = functools.reduce(DataFrame.unionByName, done)
-    limit = m.agg(F.percentile("mean_distance", F.lit(1 - share)).alias("limit"))
-    return m.join(F.broadcast(limit), F.col("mean_distance") > F.col("limit")).select("id", "mean_distance")
+        done.append(cut(k_sums(left, at, k, distance).filter(F.col("c") == k).select(*"xyz", (F.col("s") / k).alias("mean_distance"))))
+        left, distance = cut(left.join(done[-1], list("xyz"), "left_anti")), 2 * distance
+    m = cut(p.join(functools.reduce(DataFrame.unionByName, done), list("xyz")).select("id", "mean_distance"))
+    return m.filter(F.col("mean_distance") > F.lit(quantile(m, "mean_distance", 1 - share)))
 
 
 MOMENTS = ["n", *(f"p{a}" for a in "xyz"), *(f"q{a}" for a in "xyz"), *(f"c{a}{b}" for a in "xyz" for b in "xyz"), "dd"]
@@ -111,8 +91,8 @@ def align(model: DataFrame, cloud: DataFrame, distance: float, overlap: float =
     for _ in range(rounds):
         moved = transform(cloud, total, normals=turn is not None)
         near = nearest(moved, model, distance)
-        near = near if turn is None else compatible(near, moved, model, turn)
-        limit = near.agg(F.percentile("d", F.lit(overlap))).first()[0]
+        near = cut(near if turn is None else compatible(near, moved, model, turn))
+        limit = quantile(near, "d", overlap)
         if limit is None:
             break
         near = near.filter(F.col("d") <= limit)
