@@ -386,3 +386,18 @@ def test_flood_starts_in_the_nearest_ring(spark):
     assert got.count() == 16 and got.filter("level = 0").select("xi").first().xi == 5
     with pytest.raises(ValueError):
         traversability.flood(p, (60, 60, 0.0), 2.0, 0.5)
+
+
+def test_rectangles_at_the_rim_equal_their_coordinates(spark):
+    """Distances and containment of rectangles are decided by their coordinates as they are, as in the query's SQL."""
+    draw = np.random.default_rng(8)
+    at = draw.integers(0, 400, (150, 1)) / 100
+    s, c = np.hstack([at, draw.integers(0, 3, (150, 1)) * 4.0]), np.hstack([at + draw.choice([-3.0, 0.0, 2.0, 5.0], (150, 1)), draw.integers(0, 3, (150, 1)) * 4.0])
+    box = lambda p, size: [(float(p[0] + a), float(p[1] + b)) for a, b in ((0, 0), (size, 0), (size, size), (0, size))]
+    shape = lambda v, size: spark.createDataFrame([(i, box(p, size)) for i, p in enumerate(v)] * 2, "id long, pts array<struct<x:double,y:double>>").repartition(3)
+    got = sorted(map(tuple, polygons.near_pairs(shape(s, 3.0), shape(c, 1.0), 2.0, bucket=1.0).collect()))
+    gap = lambda a: np.maximum(0.0, np.maximum(s[:, None, a] - (c[None, :, a] + 1), c[None, :, a] - (s[:, None, a] + 3)))
+    far = np.sqrt(gap(0) ** 2 + gap(1) ** 2)
+    has = ((c[None] >= s[:, None]) & (c[None] + 1 <= s[:, None] + 3)).all(-1)
+    # Every id is there twice, so each pair is there four times.
+    assert got == sorted((i, j, pytest.approx(far[i, j], abs=1e-12), bool(has[i, j])) for i in range(150) for j in range(150) if far[i, j] <= 2 for _ in range(4))
