@@ -204,24 +204,81 @@ def update(cell: list[Patch], new: Patch, thickness: float, gap: float) -> None:
         took = rest
 
 
+FIELDS = ["mean", "stdev", "height", "n", "low", "high", "idx", "type"]
+
+
+def swallowed(cell: list[Patch], rows: list[np.ndarray], gap: float) -> int:
+    """How many of the first rows (FIELDS) lie each within one block, whose bounds they leave, and out of reach of all other patches;
+    they are added to their blocks. For these update() comes to that, in any number."""
+    mean, sd, height, n, low, high, idx, kind = rows
+    bottom = mean - height
+    ok, reached, within = (kind != NEGATIVE) & np.isfinite(sd + low + high), np.zeros(len(mean), np.int64), []
+    for p in cell:
+        # A little further than its reach is, so that rounding leaves no doubt.
+        d = np.hypot(p.stdev, sd) + gap + 1e-9 * (1 + abs(p.mean) + p.height)
+        reached += ~((p.mean - p.height - d >= mean) | (p.mean + d <= bottom))
+        if p.type == VERTICAL:
+            within.append((p, (mean <= p.mean) & (bottom >= p.mean - p.height)))
+    ok &= (reached == 1) & np.any([i for _, i in within], axis=0)
+    first = len(ok) if ok.all() else int(ok.argmin())
+    for p, i in within:
+        i = np.flatnonzero(i[:first])
+        if len(i):
+            # One after the other, as update() adds.
+            p.n = float(np.cumsum(np.r_[p.n, n[i]])[-1])
+            p.low, p.high, p.idx = min(p.low, float(low[i].min())), max(p.high, float(high[i].max())), max(p.idx, int(idx[i].max()))
+            for _ in i:
+                again = p.mean - (p.mean - p.height)
+                if again <= p.height:
+                    break
+                p.height = again
+    return first
+
+
+def update_all(cell: list[Patch], rows: list[np.ndarray], thickness: float, gap: float) -> None:
+    """update() for each row (FIELDS) in order; rows within blocks are taken together, as many as there may be."""
+    at, ahead, wait, end = 0, 16, 0, len(rows[0])
+    while at < end:
+        if wait <= 0 and gap > 1e-6 and any(p.type == VERTICAL for p in cell):
+            to = min(end, at + ahead)
+            n = swallowed(cell, [c[at:to] for c in rows], gap)
+            at += n
+            if at == to:
+                ahead = min(2 * ahead, 1 << 16)
+                continue
+            ahead, wait = max(16, ahead // 2), 0 if n > 4 else 8
+        update(cell, Patch(*(c[at].item() for c in rows)), thickness, gap)
+        at, wait = at + 1, wait - 1
+
+
+def dealt(patches: DataFrame, order: list[str]) -> DataFrame:
+    """Rows of a cell adjacent and in order, after one shuffle and sort."""
+    return patches.repartition(*CELL).sortWithinPartitions(*CELL, *order)
+
+
 def fold(patches: DataFrame, order: list[str], thickness: float = 0.05, gap: float = 1.0) -> DataFrame:
     """The general update: (xi, yi, order, mean, stdev, height, n, low, high, idx, type) into patches per cell. Rows
     of a cell are adjacent and in order after one shuffle and sort, and are folded as they stream by; a cell keeps its
     patches only, not its rows."""
-    sorted_ = patches.repartition(*CELL).sortWithinPartitions(*CELL, *order)
-    fields = ["mean", "stdev", "height", "n", "low", "high", "idx", "type"]
+    return folded(dealt(patches, order), thickness, gap)
+
+
+def folded(rows: DataFrame, thickness: float, gap: float) -> DataFrame:
+    """fold() of rows that were dealt()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, cell, done = None, [], []
-        emit = lambda: [(*at, i, *(getattr(p, f) for f in fields)) for i, p in enumerate(cell)]
-        names = [*CELL, "ord", *fields]
+        emit = lambda: [(*at, i, *(getattr(p, f) for f in FIELDS)) for i, p in enumerate(cell)]
+        names = [*CELL, "ord", *FIELDS]
         for d in batches:
-            for xi, yi, *row in d[[*CELL, *fields]].itertuples(index=False, name=None):
-                if (xi, yi) != at:
+            xi, yi, *columns = (d[c].to_numpy() for c in [*CELL, *FIELDS])
+            starts = np.flatnonzero(np.r_[True, (np.diff(xi) != 0) | (np.diff(yi) != 0)]) if len(d) else []
+            for s, e in zip(starts, [*starts[1:], len(d)], strict=False):
+                if (xi[s], yi[s]) != at:
                     if at is not None:
                         done += emit()
-                    at, cell = (xi, yi), []
-                update(cell, Patch(*row), thickness, gap)
+                    at, cell = (xi[s], yi[s]), []
+                update_all(cell, [c[s:e] for c in columns], thickness, gap)
             if len(done) > 10_000:
                 yield pd.DataFrame(done, columns=names)
                 done = []
@@ -229,20 +286,22 @@ def fold(patches: DataFrame, order: list[str], thickness: float = 0.05, gap: flo
             done += emit()
         yield pd.DataFrame(done, columns=names)
 
-    return sorted_.mapInPandas(run, PATCH)
+    return rows.select(*CELL, *FIELDS).mapInPandas(run, PATCH)
 
 
-def measured(points: DataFrame, spec: GridSpec, idx: int = 0) -> DataFrame:
-    """Points as patches of one measurement."""
+def measured(points: DataFrame, idx: int = 0) -> DataFrame:
+    """Points with their cell as patches of one measurement."""
     z = F.col("z")
-    return to_cells(points, spec).withColumns({"mean": z, "stdev": F.col("sd"), "height": F.lit(0.0), "n": F.lit(1.0), "low": z, "high": z, "idx": F.lit(idx).cast("long"), "type": F.lit(HORIZONTAL)})
+    return points.withColumns({"mean": z, "stdev": F.col("sd"), "height": F.lit(0.0), "n": F.lit(1.0), "low": z, "high": z, "idx": F.lit(idx).cast("long"), "type": F.lit(HORIZONTAL)})
 
 
 def project(points: DataFrame, spec: GridSpec, order: list[str], area: Column | None = None, default_sd: float = 0.1, pose_var: Column | None = None, thickness: float = 0.05, gap: float = 1.0) -> DataFrame:
     """Points into patches. pose_var: the variance in z of the points' frame at a cell, added once per patch."""
     p = points if area is None else points.filter(area)
     p = p.withColumn("sd", F.coalesce("sd", F.lit(default_sd)))
-    out = fold(measured(p, spec), order, thickness, gap)
+    # Only what differs by point is shuffled.
+    rows = dealt(to_cells(p, spec).select(*dict.fromkeys([*CELL, *order, "z", "sd"])), order)
+    out = folded(measured(rows), thickness, gap)
     return out if pose_var is None else out.withColumn("stdev", F.sqrt(F.col("stdev") * F.col("stdev") + pose_var))
 
 

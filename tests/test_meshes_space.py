@@ -119,3 +119,26 @@ def test_weights_move_centres(spark):
     d = spark.createDataFrame([(0.0, 100.0), (1.0, 1.0), (50.0, 1.0), (51.0, 1.0)], "x double, weight double")
     got = {r.x: r.cluster for r in poses.kmeans(d, ["x"], 2, weight="weight").collect()}
     assert got[0.0] == got[1.0] != got[50.0] == got[51.0]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rows_within_blocks_are_taken_together(seed):
+    """The patches are the same as by one update after the other, though most rows are not looked at one by one."""
+    draw = np.random.default_rng(seed)
+    n = 3000
+    z = np.where(draw.random(n) < 0.1, draw.uniform(0, 60, n), draw.choice([5.0, 30.0, 55.0], n) + draw.uniform(-4, 4, n))
+    kind = draw.choice([surfaces.HORIZONTAL, surfaces.VERTICAL, surfaces.NEGATIVE], n, p=[0.9, 0.08, 0.02] if seed % 2 else [1.0, 0.0, 0.0])
+    height = np.where(kind == surfaces.HORIZONTAL, 0.0, draw.uniform(0, 3, n))
+    rows = [z, draw.uniform(0.05, 0.2, n), height, draw.choice([1.0, 0.3], n), z - 0.1, z + 0.1, draw.integers(0, 3, n), kind]
+    one, all_, calls = [], [], []
+    for r in zip(*(c.tolist() for c in rows), strict=True):
+        surfaces.update(one, surfaces.Patch(*r), 0.05, 0.5)
+    real = surfaces.update
+    surfaces.update = lambda *a: (calls.append(1), real(*a))
+    try:
+        for s in range(0, n, 700):
+            surfaces.update_all(all_, [c[s : s + 700] for c in rows], 0.05, 0.5)
+    finally:
+        surfaces.update = real
+    assert all_ == one
+    assert seed % 2 or len(calls) < n / 5
